@@ -28,6 +28,12 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.hits(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import op3_quality as op
+
+    return op.judge(read(spark, sf_dir, "documents"))
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import op5_jaccard as op
 
@@ -41,6 +47,19 @@ def op6_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.read_shards(manifest)
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import op9_packing as op
+
+    return op.pack(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import op10_toxicity as op
+
+    docs = read(spark, sf_dir, "documents")
+    return op.scores(docs, op.train(docs, read(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: f for k, f in globals().items() if k.startswith("op") and k[2:3].isdigit() and callable(f)}
     return found
