@@ -34,6 +34,12 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.judge(read(spark, sf_dir, "documents"))
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import op4_sharding as op
+
+    return op.assign(read(spark, sf_dir, "documents"))
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import op5_jaccard as op
 
