@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from . import common
 from .tokens import encoder
 
-WINDOW, SHARD_BYTES, QUERY_TERMS, K1, B = 4096, 12 << 20, 24, 1.2, 0.75
+WINDOW, SHARD_BYTES, QUERY_TERMS, K1, B = 4096, 4 << 20, 24, 1.2, 0.75
 
 
 class Index:
