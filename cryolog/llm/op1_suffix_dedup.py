@@ -312,7 +312,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     common.small_batches(docs.sparkSession)
     spans = _spans(docs, length, gram).select("_id", "_row", "pieces").where("pieces IS NOT NULL").distinct()
     whole = common.keyed(docs).join(spans, ["_id", "_row"], "left")
-    at, counted = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+    names = docs.columns
+    at, counted = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -324,6 +325,6 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
                 new = [n if p is None else len(t) for n, t, p in zip(columns[counted].to_pylist(), texts, b.column(1).to_pylist(), strict=True)]
                 columns[counted] = pa.array(new, columns[counted].type)
             columns[at] = pa.array(texts, columns[at].type)
-            yield pa.RecordBatch.from_arrays(columns, names=docs.columns)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return whole.select("_doc", "pieces").mapInArrow(scan, docs.schema)

@@ -53,6 +53,18 @@ def op6_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.read_shards(manifest)
 
 
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import op7_wrappers as op
+
+    return op.main_text(read(spark, sf_dir, "pages"))
+
+
+def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import op8_licences as op
+
+    return op.scan(read(spark, sf_dir, "documents").withColumn("path", op.tree_path()))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import op9_packing as op
 
