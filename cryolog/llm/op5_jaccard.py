@@ -5,13 +5,15 @@ Sets are 64-bit hashes of ``k``-word shingles.  Equal sets are one class from th
 * Light: both sets have at most B shingles.  A pair of sizes n <= m that links shares o(n, m) shingles, so each set
   enumerates its subsets of that size, all within B, and equal subsets meet.
 * Heavy: the larger set has more than B.  A size band fixes how many shingles H two linked sets can differ in; the hash
-  range is cut into H + 1 parts, at least one of which both sets fill alike, and the inverted list of a part's content
-  holds every set that fills it so.  A list keyed by a part of several shingles stays short where a single common
-  shingle would gather half the corpus.
+  range is cut into more than H parts, so that both sets fill some part alike, and the inverted list of a part's
+  content holds every set that fills it so.  A list keyed by a part of several shingles stays short where a single
+  common shingle would gather half the corpus.  There are so many parts that those of fewer than a band's least number
+  of shingles can be left out; a set with too many such parts lists them too, for others of its kind.
 * B is where enumerating a set's subsets would begin to cost more than its lists and their checks.
 
-The members of a list are tied to its smallest class, as a star, never as all pairs; components of these ties hold all
-candidates.  Each then gets its whole sets and an exact check: a member is compared with a member of each class group
+In a list, two sets stay candidates if histograms of their shingles over SKETCH ranges differ by no more than linked
+sets can.  Such members are tied as stars, never as all pairs; components of these ties hold all candidates.  Each
+component then gets its whole sets and an exact check: a member is compared with a member of each class group
 found so far, and fully scanned only where that does not decide, so a dense group costs a line, not a square.
 
 Null texts and texts without words have an empty set, no link and themselves as component.  Rows that share a doc_id
@@ -23,7 +25,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
-from math import comb
+from math import comb, exp, factorial, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +38,7 @@ from .components import components
 
 _LOWER = bytes(b | 32 if 65 <= b <= 90 else b for b in range(256))
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_WORD_ENTRIES, _BAND = 400_000, 1.3
+_WORD_ENTRIES, _BAND, SKETCH = 400_000, 1.3, 128
 
 
 class _WordHashes(dict):
@@ -104,9 +106,17 @@ class Rule:
         return int(np.searchsorted(self.bands, n, "right")) - 1
 
     @lru_cache(maxsize=None)
-    def parts(self, band: int) -> int:
-        top = self.bands[band + 1] - 1
-        return (top + self.largest(top)) * (100 - self.percent) // (100 + self.percent) + 1
+    def parts(self, band: int) -> tuple[int, int, int]:
+        """Number of parts, least shingles of a part that is listed, and how many smaller parts a set may leave out."""
+        low, top = self.bands[band], self.bands[band + 1] - 1
+        differ = (top + self.largest(top)) * (100 - self.percent) // (100 + self.percent)
+        for least in (3, 2, 1):
+            for k in range(differ + 1, differ + 3 + differ * (4 - least) // 8):
+                x = low / k
+                small = exp(-x) * sum(x**i / factorial(i) for i in range(least))
+                if k * small + 2 * sqrt(k * small) <= k - differ - 1:
+                    return k, least, k - differ - 1
+        return differ + 1, 1, 0
 
     def signatures(self, s: np.ndarray) -> np.ndarray:
         n, out = len(s), []
@@ -122,11 +132,13 @@ class Rule:
                 out.append(mixed(mixed(total[-1] - gone) + key))
         if self.largest(n) > self.light and n >= self.bands[0]:
             for band in range(max(0, self.band(self.smallest(n))), self.band(n) + 1):
-                k = self.parts(band)
+                k, least, spare = self.parts(band)
                 edges = np.array([(j << 64) // k for j in range(1, k)], np.uint64)
                 cut = np.concatenate([[0], np.searchsorted(s, edges), [n]])
-                tag = (np.arange(k, dtype=np.uint64) << np.uint64(32)) + (np.uint64(band + 1) << np.uint64(52)) + np.diff(cut).astype(np.uint64)
-                out.append(mixed(mixed(total[cut[1:]] - total[cut[:-1]]) + mixed(tag)))
+                filled = np.diff(cut)
+                tag = (np.arange(k, dtype=np.uint64) << np.uint64(32)) + (np.uint64(band + 1) << np.uint64(52)) + filled.astype(np.uint64)
+                sigs = mixed(mixed(total[cut[1:]] - total[cut[:-1]]) + mixed(tag))
+                out.append(sigs if np.count_nonzero(filled < least) > spare else sigs[filled >= least])
         return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -135,7 +147,56 @@ def class_of(s: np.ndarray) -> int:
     return int(mixed(np.sum(mixed(s), dtype=np.uint64, keepdims=True) + np.uint64(len(s)))[0].astype(np.int64))
 
 
-_SETS = pa.schema([("_id", pa.int64()), ("_row", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.int64()), ("sigs", pa.list_(pa.int64()))])
+def sketch(s: np.ndarray) -> bytes:
+    """How many shingles fall into each of SKETCH hash ranges, 255 at most."""
+    return np.minimum(np.bincount((s >> np.uint64(64 - SKETCH.bit_length() + 1)).astype(np.int64), minlength=SKETCH), 255).astype(np.uint8).tobytes()
+
+
+_TIES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _ties(lists: DataFrame, percent: int) -> DataFrame:
+    """``lists`` (sig, cls, n, sketch): ties (a, b) that connect the members of each list that can be linked."""
+
+    def near(sizes: np.ndarray, sketches: np.ndarray, n: np.ndarray, other: np.ndarray) -> np.ndarray:
+        gap = np.abs(sketches.astype(np.int16) - other.astype(np.int16)).sum(-1)
+        return gap <= (sizes + n) - 2 * -(-percent * (sizes + n) // (100 + percent))
+
+    def tie(sig: np.ndarray, cls: np.ndarray, size: np.ndarray, sketches: np.ndarray) -> pa.RecordBatch:
+        first = np.concatenate([[0], np.flatnonzero(sig[1:] != sig[:-1]) + 1])
+        length = np.diff(np.append(first, len(sig)))
+        lead = np.repeat(first, length)
+        ok = near(size, sketches, size[lead], sketches[lead])
+        label = np.where(ok, lead, np.arange(len(sig)))  # a member of the same connected part of its list
+        for i in np.flatnonzero(~ok & (length.repeat(length) > 2)).tolist():  # not tied to the first: against all of the list
+            lo = lead[i]
+            hi = lo + length[np.searchsorted(first, lo)]
+            part = label[lo:hi]
+            met = np.unique(np.append(part[near(size[lo:hi], sketches[lo:hi], size[i], sketches[i])], label[i]))
+            part[np.isin(part, met)] = met[0]
+        tied = label != np.arange(len(sig))
+        pairs = np.unique(np.stack([cls[tied], cls[label[tied]]], 1), axis=0)
+        return common.batch(_TIES, (pairs[:, 0], pairs[:, 1]))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[np.ndarray] | None = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            new = [c.to_numpy() for c in b.columns[:3]] + [np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint8).reshape(-1, SKETCH)]
+            kept = new if kept is None else [np.concatenate(x) for x in zip(kept, new, strict=True)]
+            open_ = int(np.searchsorted(kept[0], kept[0][-1]))  # the last list may go on
+            if open_:
+                yield tie(*(x[:open_] for x in kept))
+                kept = [x[open_:] for x in kept]
+        if kept is not None:
+            yield tie(*kept)
+
+    ordered = lists.select("sig", "cls", "n", "sketch").repartition("sig").sortWithinPartitions("sig", "n", "cls")
+    return ordered.mapInArrow(scan, "a long, b long").distinct()
+
+
+_SETS = pa.schema([("_id", pa.int64()), ("_row", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.int64()), ("sigs", pa.list_(pa.int64())), ("sketch", pa.binary())])
 
 
 def _sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -144,17 +205,19 @@ def _sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rule, seen = Rule(percent), set()
         for b in batches:
-            sizes, classes, sigs = [], [], []
+            sizes, classes, sigs, sketches = [], [], [], []
             for text in common.as_bytes(b.column(2)):
                 s = shingle_set(text, k)
                 c = class_of(s) if len(s) else None
                 sizes.append(len(s))
                 classes.append(c)
-                sigs.append(None if c is None or c in seen else rule.signatures(s).view(np.int64))
+                new = c is not None and c not in seen
+                sigs.append(rule.signatures(s).view(np.int64) if new else None)
+                sketches.append(sketch(s) if new else None)
                 seen.add(c)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(sigs, pa.list_(pa.int64()))], schema=_SETS)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(sigs, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], schema=_SETS)
 
-    return docs.select(*common.row_key(), "text").mapInArrow(scan, "_id long, _row long, n_shingles long, cls long, sigs array<long>")
+    return docs.select(*common.row_key(), "text").mapInArrow(scan, "_id long, _row long, n_shingles long, cls long, sigs array<long>, sketch binary")
 
 
 class _Union:
@@ -247,8 +310,10 @@ def link_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     common.small_batches(docs.sparkSession)
     sets = common.stored(_sets(docs, k, percent), "sets")
     lists = sets.select("cls", F.explode("sigs").alias("sig"))
-    ties = lists.withColumn("low", F.min("cls").over(Window.partitionBy("sig"))).where("low < cls")
-    candidates = components(ties.select(F.col("cls").alias("a"), F.col("low").alias("b")).distinct())
+    of_sig = Window.partitionBy("sig")
+    shared = lists.withColumn("low", F.min("cls").over(of_sig)).withColumn("high", F.max("cls").over(of_sig)).where("low < high").select("sig", "cls").distinct()
+    sketches = sets.where("sketch IS NOT NULL").groupBy("cls").agg(F.max("n_shingles").alias("n"), F.max("sketch").alias("sketch"))
+    candidates = components(_ties(shared.join(sketches, "cls"), percent))
 
     first = sets.where("cls IS NOT NULL").groupBy("cls").agg(F.min(F.struct("_id", "_row")).alias("at"))
     wanted = candidates.join(first, candidates.v == first.cls).select("cls", F.col("root").alias("comp"), "at._id", "at._row")
