@@ -30,7 +30,7 @@ steps AS (
     WHEN x.state = 'DEFROST' THEN CASE WHEN f.low THEN 'DEFROST_STOP' ELSE 'DEFROST' END
     ELSE 'DEFROST_STOP' END
   FROM steps x JOIN flags f ON f.run_id = x.run_id AND f.rn = x.rn + 1),
-entered AS (SELECT *, coalesce(lag(state) OVER (PARTITION BY run_id ORDER BY rn) <> state, true) AS enters FROM steps),
+entered AS (SELECT *, coalesce(lag(state) OVER (PARTITION BY run_id, chain ORDER BY rn) <> state, true) AS enters FROM steps),
 numbered AS (
   SELECT *, sum(CAST(enters AS INTEGER)) OVER (PARTITION BY run_id ORDER BY rn) AS segment,
     sum(CAST(enters AND state = 'START' AS INTEGER)) OVER (PARTITION BY run_id ORDER BY rn) AS loops,
@@ -94,10 +94,10 @@ _T = {
     "d10_active_shelves": (FRAMES, "SELECT run_id, seq, active, round(coil, 6) AS coil FROM basics"),
     "e3_gap_minutes": (FRAMES, "SELECT run_id, seq, round(gap_min, 6) AS gap_min FROM basics"),
     "e7_chains": (FRAMES, "SELECT run_id, seq, CAST(chain AS BIGINT) AS chain FROM basics"),
-    "e4_interval_energy": (DERIVED, "SELECT run_id, seq, round(interval_kwh, 6) AS interval_kwh FROM derived WHERE interval_kwh IS NOT NULL"),
+    "e4_interval_energy": (DERIVED, "SELECT run_id, seq, interval_kwh FROM derived WHERE interval_kwh IS NOT NULL"),
     "e5_cumulative_energy": (DERIVED, "SELECT run_id, seq, round(cumulative_kwh, 4) AS cumulative_kwh FROM derived WHERE cumulative_kwh IS NOT NULL"),
     "e6_weight_change": (DERIVED, "SELECT run_id, seq, weight_delta, -weight_delta AS weight_loss FROM derived WHERE weight_delta IS NOT NULL"),
-    "e15_derived_measurements": (DERIVED, """SELECT run_id, seq, code, round(value, 4) AS value, unit FROM (
+    "e15_derived_measurements": (DERIVED, """SELECT run_id, seq, code, CASE WHEN code = 'CUMULATIVE_ENERGY_KWH' THEN round(value, 4) ELSE value END AS value, unit FROM (
       SELECT run_id, seq, 'ACTIVE_SHELF_COUNT' AS code, CAST(active AS DOUBLE) AS value, 'count' AS unit FROM derived UNION ALL SELECT run_id, seq, 'HOTTEST_COIL_C', coil, '°C' FROM derived
       UNION ALL SELECT run_id, seq, 'S4_S2_DEVIATION_C', S4 - S2, '°C' FROM derived UNION ALL SELECT run_id, seq, 'INTERVAL_ENERGY_KWH', interval_kwh, 'kWh' FROM derived
       UNION ALL SELECT run_id, seq, 'CUMULATIVE_ENERGY_KWH', cumulative_kwh, 'kWh' FROM derived UNION ALL SELECT run_id, seq, 'WEIGHT_DELTA_KG', weight_delta, 'kg' FROM derived

@@ -60,7 +60,7 @@ def e3_gap_minutes(spark, d):
 
 @query
 def e4_interval_energy(spark, d):
-    return an.with_derived(_basics(spark, d), P).where("interval_kwh IS NOT NULL").select("run_id", "seq", *_r("interval_kwh"))
+    return an.with_derived(_basics(spark, d), P).where("interval_kwh IS NOT NULL").select("run_id", "seq", "interval_kwh")
 
 
 @query
@@ -125,7 +125,7 @@ def e14_parallel_diagnostics(spark, d):
 
 @query
 def e15_derived_measurements(spark, d):
-    return an.derived_measurements(an.with_derived(_basics(spark, d), P)).select("run_id", "seq", "code", F.round("value", 4).alias("value"), "unit")
+    return an.derived_measurements(an.with_derived(_basics(spark, d), P)).select("run_id", "seq", "code", F.when(F.col("code") == "CUMULATIVE_ENERGY_KWH", F.round("value", 4)).otherwise(F.col("value")).alias("value"), "unit")
 
 
 @query
