@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from . import common
 from .op5_jaccard import mixed
 
-LENGTH, GRAM = 400, 200
+LENGTH, GRAM, SALTS = 400, 200, 64
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -256,8 +256,15 @@ def _spans(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """The keyed texts with the ranges to remove: _id, _row, text, spans (flat pairs, null if none)."""
     keyed = docs.select(*common.row_key(), "text")
     found = _anchors(keyed, length, gram)
-    often = found.groupBy("gram").count().where("count > 1").select("gram")
-    marks = found.join(often, "gram").groupBy("_id", "_row").agg(F.collect_set(F.struct("at", "gram")).alias("marks"))
+    often = common.stored(found.groupBy("gram").count().where("count > 1"), "often")
+    # a gram with more than a part in SALTS of the counted anchors: fewer than SALTS of them, so they can be broadcast
+    most = (often.agg(F.sum("count")).first()[0] or 0) // SALTS
+    hot = often.where(F.col("count") > most).select("gram", F.lit(True).alias("hot"))
+    salt = lambda value: F.when(F.col("hot"), value).otherwise(F.lit(0).cast("long")).alias("salt")
+    places = found.join(F.broadcast(hot), "gram", "left").select("gram", "_id", "_row", "at", salt(F.pmod(F.xxhash64("_row", "at"), F.lit(SALTS))))
+    salts = F.when(F.col("count") > most, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    kept = often.select("gram", F.explode(salts.cast("array<long>")).alias("salt"))
+    marks = places.join(kept, ["gram", "salt"]).groupBy("_id", "_row").agg(F.collect_set(F.struct("at", "gram")).alias("marks"))
     marked = keyed.join(marks, ["_id", "_row"]).select("_id", "_row", "text", "marks.at", "marks.gram")
     uses = common.stored(_uses(marked, length, gram), "uses")
     ranges = _ranges(uses.where("n IS NOT NULL").select("gram", "context", "left", "right", "n"), length)
