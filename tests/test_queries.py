@@ -6,8 +6,9 @@ import duckdb
 import pandas as pd
 import pytest
 
-from cryolog.plans import oracle, telemetry
+from cryolog.plans import imports, oracle, telemetry
 
+QUERIES, SQL = telemetry.queries() | imports.queries(), oracle.oracle_sql() | imports.oracle_sql()
 SF = "/root/testdata/sf0.001"
 
 
@@ -16,10 +17,10 @@ def rows(df: pd.DataFrame) -> list[tuple]:
     return sorted((tuple(plain(x) for x in r) for r in df[sorted(df.columns)].itertuples(index=False)), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(telemetry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_against_sql(spark, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{SF}/events.parquet'")
-    got, want = telemetry.queries()[name](spark, SF).toPandas(), con.execute(oracle.oracle_sql()[name]).df()
+    got, want = QUERIES[name](spark, SF).toPandas(), con.execute(SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got) == rows(want)
