@@ -306,7 +306,8 @@ def _verified(candidates: DataFrame, k: int, percent: int) -> DataFrame:
 
 
 def link_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """A row for each row of ``docs`` (doc_id, text): _id, _row (its key, see common.row_key), doc_id, n_shingles, component_id."""
+    """A row for each row of ``docs`` (doc_id, text): _id, _row (its key, see common.row_key), doc_id, n_shingles, component_id,
+    and root, the same for all rows of a component and null for a row without shingles, which is one by itself."""
     common.small_batches(docs.sparkSession)
     sets = common.stored(_sets(docs, k, percent), "sets")
     lists = sets.select("cls", F.explode("sigs").alias("sig"))
@@ -323,13 +324,18 @@ def link_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     smallest = sets.where("cls IS NOT NULL").groupBy("cls").agg(F.min(F.when(F.col("_id") > -(2**63), F.col("_id"))).alias("id"))
     of_class = smallest.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     ids = of_class.groupBy("root").agg(F.min("id").alias("component_id"))
-    merged = of_class.join(ids, "root").select("cls", "component_id")
+    merged = of_class.join(ids, "root").select("cls", "root", "component_id")
     own = F.when(F.col("_id") > -(2**63), F.col("_id"))
-    return sets.join(merged, "cls", "left").select("_id", "_row", own.alias("doc_id"), "n_shingles", F.coalesce("component_id", own).alias("component_id"))
+    return sets.join(merged, "cls", "left").select("_id", "_row", own.alias("doc_id"), "n_shingles", F.coalesce("component_id", own).alias("component_id"), "root")
 
 
 def drop_near_copies(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each component, that of the smallest id (of rows that share it, one)."""
-    kept = link_components(docs, k, percent).where("doc_id <=> component_id").groupBy("_id").agg(F.min("_row").alias("_row"))
+    """``docs`` with one document of each component, that of the smallest id (of rows that share it, one).
+
+    Components count by their rows, not by ids, so unrelated texts under one id, or without id, all stay.
+    """
+    alone = F.col("root").isNull()
+    rows = link_components(docs, k, percent).groupBy("root", F.when(alone, F.col("_id")), F.when(alone, F.col("_row")))
+    kept = rows.agg(F.min(F.struct(F.col("doc_id").isNull(), "_id", "_row")).alias("at")).select("at._id", "at._row")
     # repeated rows are equal in id and text, so any of them may stand for all
     return common.keyed(docs).join(kept, ["_id", "_row"], "left_semi").dropDuplicates(["_id", "_row"]).select("_doc.*")

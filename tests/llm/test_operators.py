@@ -118,6 +118,19 @@ def test_jaccard(docs, empty, k, percent):
     assert op5_jaccard.link_components(empty, k, percent).count() == 0
 
 
+def test_near_copies_of_null_and_shared_ids(spark):
+    prose = {x: " ".join(f"{x}{i}" for i in range(40)) for x in "abcdefg"}
+    near = prose["a"].replace("a39", "other")
+    rows = [(None, prose["a"]), (None, prose["b"]), (None, near), (5, prose["c"]), (5, prose["d"]), (5, ""), (None, None), (None, "")]
+    rows += [(None, prose["e"]), (9, prose["e"]), (8, prose["e"]), (7, prose["f"]), (7, prose["f"] + " more"), (6, prose["g"]), (6, prose["g"])]
+    kept = [tuple(r) for r in op5_jaccard.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()]
+    of = lambda *some: sorted((r for r in kept if r[1] in some), key=str)
+    assert len(of(prose["a"], near)) == 1 and of(prose["b"]) == [(None, prose["b"])]
+    assert of(prose["c"], prose["d"]) == [(5, prose["c"]), (5, prose["d"])] and of("") == [(5, ""), (None, "")]
+    assert (None, None) in kept and of(prose["e"]) == [(8, prose["e"])]
+    assert len(of(prose["f"], prose["f"] + " more")) == 1 and of(prose["g"]) == [(6, prose["g"])] and len(kept) == 10
+
+
 def test_shards_round_trip(docs, empty):
     coder = op6_sstable.encoder(vocabulary("byte_bpe_50k.json"), True)
     manifest = op6_sstable.write_shards(docs, vocabulary("byte_bpe_50k.json"), 2)
