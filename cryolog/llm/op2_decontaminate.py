@@ -14,7 +14,8 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 from itertools import chain, repeat
 
 import numpy as np
@@ -129,33 +130,52 @@ def hits(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
 _HITS = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_())])
 
 
-def _rows(docs: DataFrame, benchmark: DataFrame, n: int, judge: Callable[[str | None, Windows], tuple[bool, str | None]]) -> DataFrame:
-    """``docs`` block by block through ``judge``: whether a row stays, and its text."""
+Judge = Callable[[str | None, list[tuple[int, int]]], tuple[bool, str | None]]
+
+
+def _rows(docs: DataFrame, benchmark: DataFrame, n: int, judge: Judge) -> DataFrame:
+    """``docs`` through ``judge``: from a row's text and the spans of all blocks in it, whether it stays, and its text."""
     common.small_batches(docs.sparkSession)
-    for windows in _blocks(benchmark, n):
-        shared, at = docs.sparkSession.sparkContext.broadcast(windows), docs.columns.index("text")
+    blocks, at = _blocks(benchmark, n), docs.columns.index("text")
+    first, second = next(blocks), next(blocks, None)
+
+    def judged(columns: list[pa.Array], schema: pa.Schema, spans: Iterable[list[tuple[int, int]]]) -> pa.RecordBatch:
+        rows = [judge(t, s) for t, s in zip(columns[at].to_pylist(), spans, strict=True)]
+        columns[at] = pa.array([t for _, t in rows], schema.field(at).type)
+        return pa.RecordBatch.from_arrays(columns, schema=schema).filter(pa.array([k for k, _ in rows], pa.bool_()))
 
-        def keep(batches: Iterator[pa.RecordBatch], shared=shared, at=at) -> Iterator[pa.RecordBatch]:
+    if second is None:
+        shared = docs.sparkSession.sparkContext.broadcast(first)
+
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                judged = [judge(t, shared.value) for t in b.column(at).to_pylist()]
-                columns = b.columns
-                columns[at] = pa.array([t for _, t in judged], b.schema.field(at).type)
-                yield pa.RecordBatch.from_arrays(columns, schema=b.schema).filter(pa.array([k for k, _ in judged], pa.bool_()))
+                texts = common.as_bytes(b.column(at))
+                yield judged(b.columns, b.schema, [shared.value.scan(words_of(t))[0] for t in texts])
 
-        docs = docs.mapInArrow(keep, docs.schema)
-    return docs
+        return docs.mapInArrow(keep, docs.schema)
 
+    keyed = common.stored(docs.select(F.struct("*").alias("_doc"), F.monotonically_increasing_id().alias("_row")), "keyed")
+    plain, parts = keyed.select("_row", F.col("_doc.text").alias("text")), []
+    for windows in chain([first, second], blocks):  # stored block by block, so the driver drops a block before the next
+        parts.append(common.stored(_scan(plain, windows, ["_row"]).where("size(spans) > 0").select("_row", "spans"), "spans"))
+    found = reduce(DataFrame.unionByName, parts).groupBy("_row").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
-    """``docs`` without the documents of which a twentieth or more of the words are hit; other rows as they are.
+    def keep_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            flat = (x or [] for x in b.column(1).to_pylist())
+            yield judged(b.column(0).flatten(), pa.schema(list(b.schema.field(0).type)), [[*zip(x[::2], x[1::2], strict=True)] for x in flat])
 
-    With a benchmark of more than one block, a document is judged by each block on its own.
-    """
+    return keyed.join(found, "_row", "left").select("_doc", "spans").mapInArrow(keep_joined, docs.schema)
 
-    def judge(text: str | None, windows: Windows) -> tuple[bool, str | None]:
-        words = words_of((text or "").encode())
-        spans, _ = windows.scan(words)
-        return not spans or 20 * int(_covered(spans, len(words)).sum()) < len(words), text
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
+    """``docs`` without the documents of which a twentieth or more of the words are hit; other rows as they are."""
+
+    def judge(text: str | None, spans: list[tuple[int, int]]) -> tuple[bool, str | None]:
+        if not spans:
+            return True, text
+        n_words = len(words_of((text or "").encode()))
+        return 20 * int(_covered(spans, n_words).sum()) < n_words, text
 
     return _rows(docs, benchmark, n, judge)
 
@@ -163,11 +183,10 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = N) -> Data
 def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
     """``docs`` with the hit words, and what stands between them, cut out of the texts."""
 
-    def judge(text: str | None, windows: Windows) -> tuple[bool, str | None]:
-        raw = (text or "").encode()
-        spans, _ = windows.scan(words_of(raw))
+    def judge(text: str | None, spans: list[tuple[int, int]]) -> tuple[bool, str | None]:
         if not spans:
             return True, text
+        raw = (text or "").encode()
         places, kept, at = [m.span() for m in _WORDS.finditer(raw)], [], 0
         for a, b in sorted(spans):
             kept.append(raw[at : max(at, places[a][0])])

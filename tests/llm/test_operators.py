@@ -88,6 +88,22 @@ def test_decontamination_in_blocks(spark, docs, monkeypatch):
     assert sorted(op2_decontaminate.hits(docs, bench).collect()) == whole
 
 
+def test_filters_in_blocks(spark, monkeypatch):
+    words = [f"w{i}" for i in range(420)]
+    items = [(str(i), " ".join(words[a : a + 13])) for i, a in enumerate((10, 200, 16, 300))]
+    clean = " ".join(f"v{i}" for i in range(300)) + " " + items[0][1]
+    rows = [(1, " ".join(words), "x", "y", [0]), (2, clean, "x", "y", [1]), (2, clean, "x", "y", [1]), (3, None, "x", "y", None), (None, "", "x", "y", [])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _row string, _doc string, spans array<int>")
+    bench = spark.createDataFrame(items, "item_id string, text string").coalesce(1)
+    cut = " ".join(w for i, w in enumerate(words) if not any(a <= i < b for a, b in ((10, 29), (200, 213), (300, 313))))
+    for size in (op2_decontaminate.BLOCK_BYTES, 100):
+        monkeypatch.setattr(op2_decontaminate, "BLOCK_BYTES", size)
+        left = op2_decontaminate.drop_contaminated(docs, bench)
+        assert left.schema == docs.schema and sorted(map(tuple, left.collect()), key=str) == sorted(rows[1:], key=str)
+        got = op2_decontaminate.remove_spans(docs, bench).collect()
+        assert len(got) == len(rows) and next(r.text for r in got if r.doc_id == 1).split() == cut.split()
+
+
 def test_quality_counts(docs, empty):
     for r in op3_quality.judge(docs).collect():
         w = re.findall(r"[^\x20\x09-\x0D]+", texts()[r.doc_id] or "")
