@@ -125,6 +125,25 @@ def test_sharding(docs, empty):
     assert len(hot) == 20 * len(texts()) and op4_sharding.assign(empty).count() == 0
 
 
+def test_sharding_of_copies_alone(spark):
+    def split(n: int, copies: str) -> int:
+        docs = spark.range(n).selectExpr("id doc_id", f"concat('text ', {copies}) text")
+        rows = op4_sharding.assign(docs).collect()
+        by = [sorted(r.slot for r in rows if r.shard == s) for s in range(16)]
+        assert len(rows) == n and all(v == list(range(len(v))) for v in by) and {len(v) for v in by} <= {n // 16, -(-n // 16)}
+        return len({(r.text_crc32, r.shard) for r in rows}) - len({r.text_crc32 for r in rows})
+
+    assert split(3200, "id div 2") <= 15  # every text twice and none alone: all but the last forest of shards come together
+    assert split(1500, "if(id < 400, 0, id div 3)") <= 40  # a group larger than four shards among groups of three
+
+
+def test_grants_keep_counts():
+    asked = [[0, 5, 0, 0], [0, 0, 3, 0], [4, 2, 0, 0], [7, 0, 0, 0]]
+    got = op4_sharding.granted(asked, [2, 0, 0, 0])
+    gain = [sum(row[s] for row in got) - sum(got[s]) for s in range(4)]
+    assert all(g <= r for g, r in zip(gain, [2, 0, 0, 0])) and sum(map(sum, got)) == 2 * 2 + 3 * 1 + 2
+
+
 @pytest.mark.parametrize(("k", "percent"), [(3, 90), (5, 80), (2, 50)])
 def test_jaccard(docs, empty, k, percent):
     want = plain.components({i: plain.shingles(t or "", k) for i, t in enumerate(texts())}, percent)
