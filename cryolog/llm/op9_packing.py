@@ -76,7 +76,8 @@ def windows(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int) -
         queue, ranked = [seed], False
         while room:
             if not queue and not ranked:
-                queue, ranked = index.neighbours(seed)[::-1], True
+                queue = index.neighbours(seed)[::-1]  # the next best each time, until none is left
+                ranked = not queue
             if not queue:
                 while following < len(docs) and not index.unused[following]:
                     following += 1

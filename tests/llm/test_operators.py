@@ -8,6 +8,7 @@ import sys
 import zlib
 from pathlib import Path
 
+import numpy as np
 import pytest
 
 sys.path.insert(0, str(Path(__file__).parent))
@@ -218,6 +219,12 @@ def test_packing(docs, empty):
     assert op9_packing.pack(empty, vocabulary("word_bpe_49k.json")).count() == 0
 
 
+def test_packing_asks_for_more_neighbours():
+    docs = [np.array([i % 2 * 4 + j for j in range(4)] * 2 + [8 + i, 8 + i], np.uint32) for i in range(200)]
+    first = next(op9_packing.windows(docs, np.ones(300), 10.0, 1000))
+    assert {i for i, _, _ in first} == set(range(0, 200, 2))
+
+
 def test_toxicity_learns_and_holds_out(spark):
     docs, labels = (common.read(spark, "/root/testdata/sf0.01", t) for t in ("documents", "labels"))
     model = op10_toxicity.train(docs, labels)
