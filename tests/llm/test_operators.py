@@ -200,6 +200,16 @@ def test_licences(spark):
     assert out == {1: ("MIT", "own"), 2: ("Apache-2.0", "inherited"), 3: ("Apache-2.0", "own"), 4: (None, "none"), 5: (None, "none")}
 
 
+def test_licences_in_long_lines(spark):
+    filler = lambda n, end: "".join(f"word{i} goes on{end} " for i in range(n))
+    mit, gpl = op8_licences.TEMPLATES["MIT"][1], op8_licences.TEMPLATES["GPL-3.0"][1]
+    notices = {1: filler(300, "") + mit[:-1] + " " + filler(300, ""), 2: filler(300, ".") + "Licensed under CC BY 4.0. " + filler(300, "."), 3: filler(300, ",") + gpl, 4: filler(400, ""), 5: mit, 6: ("x" * 3000 + " ") * 2 + "licence"}
+    files = [(i, f"/{i}/a", t) for i, t in notices.items()] + [(7, "/1/b/c", "none of its own")]
+    got = {r.doc_id: (r.licence, r.origin) for r in op8_licences.scan(spark.createDataFrame(files, "doc_id long, path string, text string")).collect()}
+    own = {1: "MIT", 2: "CC-BY-4.0", 3: "GPL-3.0", 5: "MIT"}
+    assert got == {i: (own[i], "own") if i in own else (None, "none") for i in notices} | {7: ("MIT", "inherited")}
+
+
 def test_packing(docs, empty):
     coder, pieces = op9_packing.encoder(vocabulary("word_bpe_49k.json"), False), {}
     rows = op9_packing.pack(docs, vocabulary("word_bpe_49k.json"), window=64).collect()
