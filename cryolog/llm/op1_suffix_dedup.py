@@ -1,16 +1,19 @@
 """Exact substring dedup by enhanced suffix arrays over anchored suffixes.
 
 A string of ``length`` bytes that starts at two places holds the same anchor at both: the leftmost of the smallest
-hashes among its ``GRAM``-byte grams (winnowing), so whether a position is an anchor depends on nothing outside a
+hashes among its ``gram``-byte grams (winnowing), so whether a position is an anchor depends on nothing outside a
 string, and each string has one anchor.  Grams that occur once in all documents drop out after a count.  Around the
-rest, an occurrence keeps at most ``length - GRAM`` bytes to either side; equal surroundings are one context.
+rest, an occurrence keeps at most ``length - gram`` bytes to either side; equal surroundings are one context.
 
 The contexts of one gram are a suffix array: sorted by what follows the anchor, with the common prefixes of neighbours.
 A stack scan visits its interval tree from the longest common prefixes down.  In an interval, the members' left sides
-are kept sorted; where they differ, or reach a text's start, the repeat can't be extended to the left and is maximal,
-and its occurrences are all the interval's members, not just neighbours.  For each member the longest left side that
-it shares with another member is looked up whenever an interval adds members, which gives every string of ``length``
-bytes that starts anywhere else.
+are sorted, and a second stack scan over them finds where they part: members that share a left side which no byte
+extends for all of them (left-diverse), and that do not all lie in one interval inside (right-diverse), are the
+occurrences of a maximal repeat.  These groups, of all members and not of neighbours, say which bytes are repeated.
+
+A gram of more than MOST anchors has its strings counted one by one instead, by hash and in chunks, so that no task
+holds all of its contexts; the outcome is the same.  Grams of more anchors than that are at most 2**20 by the share of
+all anchors that makes them so, which bounds their broadcast.
 
 Null texts are empty.  Repeated rows count as documents of their own.  Texts shorter than ``length`` are never cut.
 """
@@ -18,19 +21,20 @@ Null texts are empty.  Repeated rows count as documents of their own.  Texts sho
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 from .op5_jaccard import mixed
 
-LENGTH, GRAM, SALTS = 400, 200, 64
+LENGTH, GRAM, PASSAGE = 400, 200, 280
+MOST, MOST_GRAMS, CHUNK = 2000, 1 << 20, 2000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -72,16 +76,14 @@ def window_minima(h: np.ndarray, width: int) -> np.ndarray:
     return at[:n]
 
 
-def anchors(text: bytes, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor positions, their gram hashes, and the first and last start of the strings that each one anchors."""
+def anchors(text: bytes, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Anchor positions, ascending, and their gram hashes."""
     if len(text) < length:
-        return (np.zeros(0, np.int64),) * 4
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     h = gram_hashes(np.frombuffer(text, np.uint8), gram)
     at = window_minima(h, length - gram + 1)
-    first = np.concatenate([[0], np.flatnonzero(at[1:] != at[:-1]) + 1])
-    last = np.concatenate([first[1:] - 1, [len(at) - 1]])
-    where = at[first]
-    return where, h[where].view(np.int64), first, last
+    where = at[np.concatenate([[True], at[1:] != at[:-1]])]
+    return where, h[where].view(np.int64)
 
 
 def _common_prefix(a: bytes, b: bytes) -> int:
@@ -97,102 +99,87 @@ def _common_prefix(a: bytes, b: bytes) -> int:
     return low
 
 
+def intervals(lcp: list[int], least: int) -> Iterator[tuple[int, int, int]]:
+    """The nodes of the interval tree of an array with these common prefixes of neighbours: (prefix, first, last), each
+    before the one that holds it, for prefixes of ``least`` or more."""
+    stack: list[tuple[int, int]] = []
+    for i, value in enumerate([*lcp, -1]):
+        first = i
+        while stack and stack[-1][0] > value:
+            depth, first = stack.pop()
+            yield depth, first, i
+        if value >= least and (not stack or stack[-1][0] < value):
+            stack.append((value, first))
+
+
 class Contexts:
     """The distinct contexts of one gram: left sides reversed, right sides from the anchor on, numbers of occurrences."""
 
     def __init__(self, lefts: list[bytes], rights: list[bytes], counts: list[int]):
-        order = sorted(range(len(rights)), key=rights.__getitem__)
-        self.lefts = [lefts[i] for i in order]
-        self.rights = [rights[i] for i in order]
-        self.counts = [counts[i] for i in order]
-        self.order = order
+        self.order = sorted(range(len(rights)), key=rights.__getitem__)
+        self.lefts = [lefts[i] for i in self.order]
+        self.rights = [rights[i] for i in self.order]
+        self.counts = [counts[i] for i in self.order]
         self.lcp = [_common_prefix(a, b) for a, b in zip(self.rights, self.rights[1:])]
 
-    def intervals(self, least: int) -> Iterator[tuple[int, list[tuple[bytes, int]], list[tuple[bytes, int]]]]:
-        """Intervals of the array with a common prefix of ``least`` bytes or more, each before those that hold it: the
-        prefix length, the members sorted by left side, and those that were not in the largest interval inside it."""
-        stack: list[tuple[int, list]] = [(-1, [])]  # prefix length, intervals inside so far
-        last = [(self.lefts[0], 0)] if self.lefts else []
-
-        def close(value: int, inside: list) -> list[tuple[bytes, int]]:
-            big = max(inside, key=len)  # the others go into it, so a member moves a logarithmic number of times
-            added = [m for x in inside if x is not big for m in x]
-            for m in added:
-                insort(big, m)
-            found.append((value, big, added))
-            return big
-
-        found: list = []
-        for i, value in enumerate(self.lcp, 1):
-            while stack[-1][0] > value:
-                depth, inside = stack.pop()
-                last = close(depth, [*inside, last])
-                yield from found
-                found.clear()
-            if stack[-1][0] == value:
-                stack[-1][1].append(last)
-            elif value >= least:
-                stack.append((value, [last]))
-            last = [(self.lefts[i], i)]
-        while stack[-1][0] >= least:
-            depth, inside = stack.pop()
-            last = close(depth, [*inside, last])
-            yield from found
-            found.clear()
-
     def maximal_repeats(self, length: int) -> Iterator[tuple[int, int, list[int]]]:
-        """(bytes before the anchor, bytes from it on, contexts) of each maximal repeat of ``length`` bytes or more."""
-        for right, members, _ in self.intervals(1):
-            left = _common_prefix(members[0][0], members[-1][0])  # sorted: the ends share least
-            if left + right >= length:  # no longer left side holds for all: left-diverse
-                yield left, right, [self.order[i] for _, i in members]
+        """(bytes before the anchor, bytes from it on, contexts) of each maximal repeat of ``length`` bytes or more
+        within the contexts' reach; a context that occurs more than once is one by itself."""
+        for i, n in enumerate(self.counts):
+            if n > 1 and len(self.lefts[i]) + len(self.rights[i]) >= length:
+                yield len(self.lefts[i]), len(self.rights[i]), [self.order[i]]
+        longest = max(map(len, self.lefts), default=0)
+        inside = list(range(len(self.lefts)))  # of each member, the largest interval seen so far that holds it
+        for node, (right, first, last) in enumerate(intervals(self.lcp, max(1, length - longest)), len(inside)):
+            members = sorted(range(first, last + 1), key=self.lefts.__getitem__)
+            shared = [_common_prefix(self.lefts[a], self.lefts[b]) for a, b in zip(members, members[1:])]
+            for left, low, high in intervals(shared, max(0, length - right)):  # left sides part here: left-diverse
+                if len({inside[m] for m in members[low : high + 1]}) > 1:  # and they go on differently to the right
+                    yield left, right, [self.order[m] for m in members[low : high + 1]]
+            inside[first : last + 1] = [node] * len(members)
 
     def repeated(self, length: int) -> list[list[tuple[int, int]]]:
-        """For each context, ranges around the anchor that strings of ``length`` bytes with another start cover."""
-        best: list[list[tuple[int, int]]] = [[] for _ in self.rights]
-        for i, count in enumerate(self.counts):
-            if count > 1 and len(self.lefts[i]) + len(self.rights[i]) >= length:
-                best[i].append((len(self.lefts[i]), len(self.rights[i])))
-        longest = [-1] * len(self.rights)
-
-        def note(i: int, left: int, right: int) -> None:
-            if left > longest[i]:
-                longest[i] = left
-                if left + right >= length:
-                    best[i].append((left, right))
-
-        for right, members, added in self.intervals(1):
-            touched = set()
-            for m in added:
-                at = bisect_left(members, m)
-                touched.update(range(max(0, at - 1), min(len(members), at + 2)))
-            for at in touched:
-                left = max(_common_prefix(members[at][0], members[j][0]) for j in (at - 1, at + 1) if 0 <= j < len(members))
-                note(members[at][1], left, right)
-        out: list = [[]] * len(best)
-        for i, found in enumerate(best):
-            out[self.order[i]] = found
-        return out
-
-
-_FOUND = pa.schema([("gram", pa.int64()), ("_id", pa.int64()), ("_row", pa.int64()), ("at", pa.int32())])
-_USES = pa.schema([("_id", pa.int64()), ("_row", pa.int64()), ("at", pa.int32()), ("context", pa.binary()), ("gram", pa.int64()), ("left", pa.binary()), ("right", pa.binary()), ("n", pa.int64())])
+        """For each context, ranges around the anchor that maximal repeats of ``length`` bytes or more cover."""
+        out: list[list[tuple[int, int]]] = [[] for _ in self.rights]
+        for left, right, members in self.maximal_repeats(length):
+            for m in members:
+                out[m].append((left, right))
+        return [_frontier(x) for x in out]
+
+
+def _frontier(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The pairs that no other one covers."""
+    out: list[tuple[int, int]] = []
+    for left, right in sorted(pairs, reverse=True):
+        if not out or right > out[-1][1]:
+            out.append((left, right))
+    return out
+
+
+_FOUND = pa.schema([("gram", pa.int64()), ("_id", pa.int64()), ("_row", pa.int64()), ("at", pa.int32()), ("main", pa.bool_())])
+_USES = pa.schema([("_id", pa.int64()), ("_row", pa.int64()), ("at", pa.int32()), ("chunk", pa.int64()), ("context", pa.binary()), ("gram", pa.int64()), ("many", pa.bool_()), ("left", pa.binary()), ("right", pa.binary()), ("n", pa.int64())])
 _RANGES = pa.schema([("context", pa.binary()), ("ranges", pa.list_(pa.int32()))])
+_STRINGS = pa.schema([("string", pa.binary()), ("context", pa.binary()), ("left", pa.int32()), ("n", pa.int64())])
+
 
+def _anchors(keyed: DataFrame, length: int, gram: int, dense: int) -> DataFrame:
+    """The anchors of strings of ``dense`` bytes; main are those of strings of ``length`` bytes, which are among them."""
 
-def _anchors(keyed: DataFrame, length: int, gram: int) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            grams, rows, places = [], [], []
+            grams, rows, places, main = [], [], [], []
             for i, text in enumerate(common.as_bytes(b.column(2))):
-                where, h, _, _ = anchors(text, length, gram)
+                where, h = anchors(text, dense, gram)
                 grams.append(h)
                 rows.append(np.full(len(h), i))
                 places.append(where)
-            at = pa.array(np.concatenate(rows).astype(np.int64)) if rows else pa.array([], pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams).astype(np.int64)), b.column(0).take(at), b.column(1).take(at), pa.array(np.concatenate(places).astype(np.int32))], schema=_FOUND)
+                main.append(np.isin(where, anchors(text, length, gram)[0]) if dense < length else np.ones(len(h), bool))
+            if rows:
+                at = pa.array(np.concatenate(rows).astype(np.int64))
+                columns = [np.concatenate(grams).astype(np.int64), b.column(0).take(at), b.column(1).take(at), np.concatenate(places).astype(np.int32), np.concatenate(main)]
+                yield common.batch(_FOUND, columns)
 
-    return keyed.select("_id", "_row", "text").mapInArrow(scan, "gram long, _id long, _row long, at int")
+    return keyed.select("_id", "_row", "text").mapInArrow(scan, "gram long, _id long, _row long, at int, main boolean")
 
 
 def _sides(text: bytes, at: int, length: int, gram: int) -> tuple[bytes, bytes]:
@@ -204,73 +191,163 @@ def _context(left: bytes, right: bytes) -> bytes:
 
 
 def _uses(marked: DataFrame, length: int, gram: int) -> DataFrame:
-    """A row for each repeated anchor; the first of a context in an Arrow batch has its bytes and how many there are."""
+    """A row for each repeated anchor; the first of a context in an Arrow batch (a chunk) has its bytes and how many there
+    are.  One row more for each text, without a context, has how many of its anchors are repeated."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk = TaskContext.get().partitionId() << 32
         for b in batches:
             rows, first = [], {}
-            for i, r, text, ats, grams in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), common.as_bytes(b.column(2)), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
-                for at, g in zip(ats, grams, strict=True):
-                    left, right = _sides(text, at, length, gram)
-                    c = _context(left, right)
-                    if c in first:
-                        first[c][7] += 1
-                        rows.append((i, r, at, c, g, None, None, None))
-                    else:
-                        rows.append(row := [i, r, at, c, g, left, right, 1])
-                        first[c] = row
+            for i, r, text, marks in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), common.as_bytes(b.column(2)), b.column(3).to_pylist(), strict=True):
+                rows.append((i, r, None, None, None, None, None, None, None, len(marks)))
+                for m in marks:
+                    if m["main"]:
+                        left, right = _sides(text, m["at"], length, gram)
+                        c = _context(left, right)
+                        if c in first:
+                            first[c][9] += 1
+                            rows.append((i, r, m["at"], chunk, c, m["gram"], m["many"], None, None, None))
+                        else:
+                            rows.append(row := [i, r, m["at"], chunk, c, m["gram"], m["many"], left, right, 1])
+                            first[c] = row
+            chunk += 1
             if rows:
                 yield common.batch(_USES, zip(*rows, strict=True))
 
-    return marked.mapInArrow(scan, "_id long, _row long, at int, context binary, gram long, left binary, right binary, n long")
+    return marked.mapInArrow(scan, "_id long, _row long, at int, chunk long, context binary, gram long, many boolean, left binary, right binary, n long")
+
+
+def _by_gram(contexts: DataFrame) -> DataFrame:
+    return contexts.select("gram", "context", "left", "right", "n").repartition("gram").sortWithinPartitions("gram", "context")
+
+
+def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes], Contexts]]:
+    """Gram, contexts and their tree, from rows in order of gram and context."""
+    gram, rows = None, []
+
+    def done() -> tuple[int, list[bytes], Contexts]:
+        return gram, [r[1] for r in rows], Contexts(*([r[k] for r in rows] for k in (2, 3, 4)))
+
+    for b in batches:
+        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if rows and row[0] != gram:
+                yield done()
+                rows = []
+            gram = row[0]
+            if rows and rows[-1][1] == row[1]:  # the same context from another chunk
+                rows[-1] = (*row[:4], rows[-1][4] + row[4])
+            else:
+                rows.append(row)
+    if rows:
+        yield done()
 
 
 def _ranges(contexts: DataFrame, length: int) -> DataFrame:
-    """For each context the ranges that repeat, as pairs of bytes before and from the anchor."""
+    """For each context the ranges that repeat, as pairs of bytes before and from the anchor; by trees."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gram, rows = None, []
+        for _, names, tree in _trees(batches):
+            found = [(c, [x for pair in ranges for x in pair]) for c, ranges in zip(names, tree.repeated(length), strict=True) if ranges]
+            if found:
+                yield common.batch(_RANGES, zip(*found, strict=True))
 
-        def done() -> pa.RecordBatch:
-            one = Contexts([r[2] for r in rows], [r[3] for r in rows], [r[4] for r in rows])
-            found = [(r[1], [x for pair in ranges for x in pair]) for r, ranges in zip(rows, one.repeated(length), strict=True) if ranges]
-            return common.batch(_RANGES, zip(*found, strict=True) if found else ([], []))
+    return _by_gram(contexts).mapInArrow(scan, "context binary, ranges array<int>")
 
-        for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if rows and row[0] != gram:
-                    yield done()
-                    rows = []
-                gram = row[0]
-                if rows and rows[-1][1] == row[1]:  # the same context from another task
-                    rows[-1] = (*row[:4], rows[-1][4] + row[4])
+
+def _counted(contexts: DataFrame, length: int, gram: int) -> DataFrame:
+    """Repeated strings of ``length`` bytes, for grams of very many contexts: string (its hash), context, left (bytes before
+    the anchor).  They are counted within a chunk of contexts and then over the chunks, of which each hands on a string once."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(rows: list[tuple]) -> pa.RecordBatch:
+            seen: dict[bytes, list] = {}
+            for gram_, context, left, right, n in rows:
+                text = left[::-1] + right
+                for start in range(max(0, len(left) - length + gram), min(len(left), len(text) - length) + 1):
+                    # with the gram and its place, as one string may lie around several anchors
+                    string = xxhash.xxh3_128_digest(b"%d %d " % (gram_, len(left) - start) + text[start : start + length])
+                    seen.setdefault(string, []).append((context, len(left) - start, n))
+            out: list[tuple] = []
+            for string, places in seen.items():
+                if len(places) > 1 or places[0][2] > 1:  # known to be repeated; for the other chunks it counts as two
+                    out += [(string, c, left, 0) for c, left, _ in places]
+                    out.append((string, None, None, 2))
                 else:
-                    rows.append(row)
+                    out.append((string, *places[0]))
+            return common.batch(_STRINGS, zip(*out, strict=True) if out else ([], [], [], []))
+
+        rows: list[tuple] = []
+        for b in batches:
+            rows += zip(*(c.to_pylist() for c in b.columns), strict=True)
+            if len(rows) >= CHUNK:
+                yield done(rows)
+                rows = []
         if rows:
-            yield done()
+            yield done(rows)
+
+    dealt = contexts.select("gram", "context", "left", "right", "n").repartition("gram", F.pmod(F.hash("context"), F.lit(MOST)))
+    strings = common.stored(dealt.mapInArrow(scan, "string binary, context binary, left int, n long"), "strings")
+    place = F.when(F.col("context").isNotNull(), F.struct("context", "left"))
+    over = strings.where("n > 0").groupBy("string").agg(F.sum("n").alias("n"), F.collect_set(place).alias("places")).where("n > 1")
+    return strings.where("n = 0").select("string", "context", "left").unionByName(over.select("string", F.inline("places")))
+
 
-    return contexts.repartition("gram").sortWithinPartitions("gram", "context").mapInArrow(scan, "context binary, ranges array<int>")
+def _counted_ranges(contexts: DataFrame, length: int, gram: int) -> DataFrame:
+    pairs = F.transform(F.array_sort(F.collect_set("left")), lambda x: F.array(x, F.lit(length) - x))
+    return _counted(contexts, length, gram).groupBy("context").agg(F.flatten(pairs).alias("ranges"))
 
 
-def _spans(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """The keyed texts with the ranges to remove: _id, _row, text, spans (flat pairs, null if none)."""
+def _contexts(docs: DataFrame, length: int, gram: int, dense: int) -> DataFrame:
+    """The stored uses of all repeated anchors, see ``_uses``."""
     keyed = docs.select(*common.row_key(), "text")
-    found = _anchors(keyed, length, gram)
+    found = _anchors(keyed, length, gram, dense)
     often = common.stored(found.groupBy("gram").count().where("count > 1"), "often")
-    # a gram with more than a part in SALTS of the counted anchors: fewer than SALTS of them, so they can be broadcast
-    most = (often.agg(F.sum("count")).first()[0] or 0) // SALTS
-    hot = often.where(F.col("count") > most).select("gram", F.lit(True).alias("hot"))
-    salt = lambda value: F.when(F.col("hot"), value).otherwise(F.lit(0).cast("long")).alias("salt")
-    places = found.join(F.broadcast(hot), "gram", "left").select("gram", "_id", "_row", "at", salt(F.pmod(F.xxhash64("_row", "at"), F.lit(SALTS))))
-    salts = F.when(F.col("count") > most, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    kept = often.select("gram", F.explode(salts.cast("array<long>")).alias("salt"))
-    marks = places.join(kept, ["gram", "salt"]).groupBy("_id", "_row").agg(F.collect_set(F.struct("at", "gram")).alias("marks"))
-    marked = keyed.join(marks, ["_id", "_row"]).select("_id", "_row", "text", "marks.at", "marks.gram")
-    uses = common.stored(_uses(marked, length, gram), "uses")
-    ranges = _ranges(uses.where("n IS NOT NULL").select("gram", "context", "left", "right", "n"), length)
-    pieces = uses.select("_id", "_row", "at", "context").join(ranges, "context").select("_id", "_row", F.struct("at", "ranges").alias("piece"))
-    spans = pieces.groupBy("_id", "_row").agg(F.collect_set("piece").alias("pieces"))
-    return keyed.join(spans, ["_id", "_row"], "left")
+    most = max(MOST, (often.agg(F.sum("count")).first()[0] or 0) // MOST_GRAMS)
+    many = often.where(F.col("count") > most).select("gram", F.ceil(F.col("count") / most).alias("salts"))  # fewer than MOST_GRAMS
+    salt = F.coalesce(F.pmod(F.xxhash64("_row", "at"), "salts"), F.lit(0).cast("long")).alias("salt")
+    places = found.join(F.broadcast(many), "gram", "left").select("gram", "_id", "_row", "at", "main", F.col("salts").isNotNull().alias("many"), salt)
+    salts = F.when(F.col("count") > most, F.sequence(F.lit(0).cast("long"), F.ceil(F.col("count") / most) - 1)).otherwise(F.array(F.lit(0).cast("long")))
+    kept = often.select("gram", F.explode(salts).alias("salt"))
+    marks = places.join(kept, ["gram", "salt"]).groupBy("_id", "_row").agg(F.collect_set(F.struct("at", "gram", "main", "many")).alias("marks"))
+    return common.stored(_uses(keyed.join(marks, ["_id", "_row"]), length, gram), "uses")
+
+
+def _pieces(docs: DataFrame, length: int, gram: int, dense: int) -> DataFrame:
+    """_id, _row, pieces (repeated ranges around anchors) and n_anchors (repeated ones) of the rows that have any."""
+    uses = _contexts(docs, length, gram, dense)
+    first = uses.where("context IS NOT NULL AND n IS NOT NULL")
+    ranges = _ranges(first.where("NOT many"), length).unionByName(_counted_ranges(first.where("many"), length, gram))
+    # a context in very many texts meets its ranges once in a chunk, and the chunk's other texts there
+    led = first.select("context", "chunk").join(ranges, "context")
+    pieces = uses.join(led, ["context", "chunk"]).select("_id", "_row", F.struct("at", "ranges").alias("piece"), F.lit(None).cast("long").alias("n"))
+    whole = uses.where("context IS NULL").select("_id", "_row", F.lit(None).cast(pieces.schema["piece"].dataType).alias("piece"), "n")
+    return pieces.unionByName(whole).groupBy("_id", "_row").agg(F.collect_set("piece").alias("pieces"), F.max("n").alias("n_anchors"))
+
+
+def repeat_groups(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """The maximal repeats of ``length`` bytes or more with all their occurrences, a row for each: repeat (a number),
+    n_bytes, doc_id and start (in bytes).
+
+    A repeat is maximal within the reach of its anchor, ``length - gram`` bytes before and ``length`` bytes from it on;
+    a longer one comes as a chain of such groups, one for each of its anchors.  Around a gram of more than MOST anchors
+    they are the repeated strings of just ``length`` bytes.
+    """
+    common.small_batches(docs.sparkSession)
+    uses = _contexts(docs, length, gram, length)
+    schema = pa.schema([("repeat", pa.int64()), ("left", pa.int32()), ("right", pa.int32()), ("context", pa.binary())])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for gram_, names, tree in _trees(batches):
+            rows = [(xxhash.xxh3_64_intdigest(f"{gram_}:{k}") >> 1, left, right, names[m]) for k, (left, right, members) in enumerate(tree.maximal_repeats(length)) for m in members]
+            if rows:
+                yield common.batch(schema, zip(*rows, strict=True))
+
+    first = uses.where("context IS NOT NULL AND n IS NOT NULL")
+    groups = _by_gram(first.where("NOT many")).mapInArrow(scan, "repeat long, left int, right int, context binary")
+    strings = _counted(first.where("many"), length, gram).select(F.xxhash64("string").alias("repeat"), "left", (F.lit(length) - F.col("left")).alias("right"), "context")
+    placed = groups.unionByName(strings).join(uses.select("_id", "_row", "at", "context"), "context").distinct()
+    named = placed.join(docs.select("doc_id", *common.row_key()), ["_id", "_row"])
+    return named.select("repeat", (F.col("left") + F.col("right")).alias("n_bytes"), "doc_id", (F.col("at") - F.col("left")).alias("start"))
 
 
 def merged_spans(pieces: list[dict] | None) -> list[tuple[int, int]]:
@@ -292,23 +369,28 @@ def cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*kept, text[at:]])
 
 
-_REPORT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
+_REPORT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("n_shared_anchors", pa.int64())])
 
 
-def report(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row of ``docs`` (doc_id, text)."""
+def report(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, passage: int = PASSAGE) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and n_shared_anchors of every row of ``docs`` (doc_id, text).
+
+    The last counts anchors whose ``gram`` bytes start elsewhere too, where anchors lie so close that every repeat of
+    ``passage`` bytes or more has one: a text with none of them shares no such passage with any other.
+    """
     common.small_batches(docs.sparkSession)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for i, text, pieces in zip(b.column(0).to_pylist(), common.as_bytes(b.column(1)), b.column(2).to_pylist(), strict=True):
+            for i, text, pieces, n in zip(b.column(0).to_pylist(), common.as_bytes(b.column(1)), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 spans = merged_spans(pieces)
-                rows.append((None if i == -(2**63) else i, len(text), sum(b - a for a, b in spans), len(spans), hashlib.sha256(cut(text, spans)).hexdigest()))
+                rows.append((i, len(text), sum(b - a for a, b in spans), len(spans), hashlib.sha256(cut(text, spans)).hexdigest(), n or 0))
             if rows:
                 yield common.batch(_REPORT, zip(*rows, strict=True))
 
-    return _spans(docs, length, gram).select("_id", "text", "pieces").mapInArrow(scan, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    whole = docs.select("doc_id", *common.row_key(), "text").join(_pieces(docs, length, gram, min(length, passage)), ["_id", "_row"], "left")
+    return whole.select("doc_id", "text", "pieces", "n_anchors").mapInArrow(scan, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_shared_anchors long")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -317,7 +399,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     Columns other than text are kept as they are, but for n_chars, which follows the text where there is one.
     """
     common.small_batches(docs.sparkSession)
-    spans = _spans(docs, length, gram).select("_id", "_row", "pieces").where("pieces IS NOT NULL").distinct()
+    spans = _pieces(docs, length, gram, length).where("size(pieces) > 0")
     whole = common.keyed(docs).join(spans, ["_id", "_row"], "left")
     names = docs.columns
     at, counted = names.index("text"), names.index("n_chars") if "n_chars" in names else None

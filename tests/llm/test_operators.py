@@ -57,10 +57,59 @@ def test_repeats_keep_columns_and_repeated_rows(docs):
     assert [r.n_removed == r.n_bytes for r in op1_suffix_dedup.report(twice).collect()] == [True, True]
 
 
-def test_maximal_repeats():
-    left = [b"ab"[::-1], b"cb"[::-1], b"cb"[::-1]]
-    found = {(a, b, tuple(sorted(m))) for a, b, m in op1_suffix_dedup.Contexts(left, [b"xyz1", b"xyz2", b"xyz3"], [1, 1, 1]).maximal_repeats(3)}
-    assert found == {(1, 3, (0, 1, 2))}
+def test_repeats_by_trees_and_by_counts_agree(docs, monkeypatch):
+    for length, gram in ((400, 200), (200, 100)):
+        want = plain.repeats([(t or "").encode() for t in texts()], length)
+        for most in (2000, 2):  # with 2, most grams have too many contexts for a tree
+            monkeypatch.setattr(op1_suffix_dedup, "MOST", most)
+            got = {r.doc_id: r for r in op1_suffix_dedup.report(docs, length, gram).collect()}
+            assert [(got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) for i in range(len(want))] == want
+            assert all(got[i].n_shared_anchors > 0 for i, w in enumerate(want) if w[1])
+
+
+def test_repeats_of_null_and_least_ids(spark):
+    rows = [(None, "a" * 401), (-(2**63), "b" * 300), (None, None), (-(2**63), ""), (3, "c" * 10)]
+    got = sorted(((r.doc_id, r.n_bytes, r.n_removed) for r in op1_suffix_dedup.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == sorted([(None, 401, 401), (-(2**63), 300, 0), (None, 0, 0), (-(2**63), 0, 0), (3, 10, 0)], key=str)
+
+
+def test_repeat_groups_have_all_occurrences(docs, empty, monkeypatch):
+    raw = [(t or "").encode() for t in texts()]
+    covered = lambda rows: {(r.doc_id, k) for r in rows for k in range(r.start, r.start + r.n_bytes)}
+    want = plain.repeats(raw, 200)
+    for most in (2000, 2):
+        monkeypatch.setattr(op1_suffix_dedup, "MOST", most)
+        rows = op1_suffix_dedup.repeat_groups(docs, 200, 100).collect()
+        groups: dict[int, list] = {}
+        for r in rows:
+            groups.setdefault(r.repeat, []).append(r)
+        for g in groups.values():
+            strings = {raw[r.doc_id][r.start : r.start + r.n_bytes] for r in g}
+            assert len(g) > 1 and len(strings) == 1
+            (string,) = strings
+            if len(string) < 290:  # the reach of an anchor clips longer ones
+                assert len(g) <= sum(t[i:].startswith(string) for t in raw for i in range(len(t)))
+        assert len(covered(rows)) == sum(w[1] for w in want)
+    assert op1_suffix_dedup.repeat_groups(empty).count() == 0
+
+
+def test_maximal_repeats_against_all_substrings():
+    r = random.Random(3)
+    for _ in range(40):
+        pairs = list({("".join(r.choice("ab") for _ in range(r.randint(0, 4))), "".join(r.choice("ab") for _ in range(r.randint(1, 4)))) for _ in range(r.randint(1, 7))})
+        want = set()
+        for a in range(5):
+            for b in range(1, 5):
+                by: dict = {}
+                for i, (x, y) in enumerate(pairs):
+                    if len(x) >= a and len(y) >= b:
+                        by.setdefault((x[:a], y[:b]), []).append(i)
+                for m in by.values():
+                    longer = lambda k, n: {pairs[i][k][n : n + 1] or str(i) for i in m}  # noqa: B023, E731
+                    if len(m) > 1 and a + b >= 3 and len(longer(0, a)) > 1 and len(longer(1, b)) > 1:
+                        want.add((a, b, tuple(m)))
+        tree = op1_suffix_dedup.Contexts([x.encode() for x, _ in pairs], [y.encode() for _, y in pairs], [1] * len(pairs))
+        assert {(a, b, tuple(sorted(m))) for a, b, m in tree.maximal_repeats(3)} == want
 
 
 def test_decontamination(spark, docs, empty):
