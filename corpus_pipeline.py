@@ -19,8 +19,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of 400 bytes that start at two places or more are cut out of the texts."""
-    return op1_suffix_dedup.remove_repeats(docs)
+    """Strings of 200 bytes that start at two places or more are cut out of the texts: passages of some 33 words or more."""
+    return op1_suffix_dedup.remove_repeats(docs, length=200, gram=100)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
