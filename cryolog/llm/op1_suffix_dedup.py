@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +34,7 @@ from . import common
 from .op5_jaccard import mixed
 
 LENGTH, GRAM, PASSAGE = 400, 200, 280
-MOST, MOST_GRAMS, CHUNK = 2000, 1 << 20, 2000
+MOST, MOST_GRAMS, CHUNK, FILTER_BITS = 2000, 1 << 20, 2000, 1 << 27
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -76,14 +76,18 @@ def window_minima(h: np.ndarray, width: int) -> np.ndarray:
     return at[:n]
 
 
-def anchors(text: bytes, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """Anchor positions, ascending, and their gram hashes."""
-    if len(text) < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+def anchors(text: bytes, length: int, gram: int, dense: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions of the anchors of strings of ``dense`` bytes, ascending, their gram hashes, and which of them are anchors
+    of strings of ``length`` bytes too."""
+    if len(text) < dense:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
     h = gram_hashes(np.frombuffer(text, np.uint8), gram)
-    at = window_minima(h, length - gram + 1)
-    where = at[np.concatenate([[True], at[1:] != at[:-1]])]
-    return where, h[where].view(np.int64)
+    distinct = lambda at: at[np.concatenate([[True], at[1:] != at[:-1]])]
+    where = distinct(window_minima(h, dense - gram + 1))
+    main = np.zeros(len(h), bool)
+    if len(text) >= length:
+        main[where if dense == length else window_minima(h, length - gram + 1)] = True
+    return where, h[where].view(np.int64), main[where]
 
 
 def _common_prefix(a: bytes, b: bytes) -> int:
@@ -162,26 +166,43 @@ _RANGES = pa.schema([("context", pa.binary()), ("ranges", pa.list_(pa.int32()))]
 _STRINGS = pa.schema([("string", pa.binary()), ("context", pa.binary()), ("left", pa.int32()), ("n", pa.int64())])
 
 
-def _anchors(keyed: DataFrame, length: int, gram: int, dense: int) -> DataFrame:
-    """The anchors of strings of ``dense`` bytes; main are those of strings of ``length`` bytes, which are among them."""
+def _anchors(keyed: DataFrame, length: int, gram: int, dense: int, often: Broadcast | None = None) -> DataFrame:
+    """The anchors of strings of ``dense`` bytes; main are those of strings of ``length`` bytes, which are among them.
+    With the bits of ``often``, those that can't be repeated are left out."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            grams, rows, places, main = [], [], [], []
+            found, rows = [], []
             for i, text in enumerate(common.as_bytes(b.column(2))):
-                where, h = anchors(text, dense, gram)
-                grams.append(h)
+                where, h, main = anchors(text, length, gram, dense)
+                if often is not None:
+                    bit = _bit(h.view(np.uint64))
+                    known = (often.value[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1)) > 0
+                    where, h, main = where[known], h[known], main[known]
+                found.append((h, where, main))
                 rows.append(np.full(len(h), i))
-                places.append(where)
-                main.append(np.isin(where, anchors(text, length, gram)[0]) if dense < length else np.ones(len(h), bool))
             if rows:
+                h, where, main = (np.concatenate(x) for x in zip(*found, strict=True))
                 at = pa.array(np.concatenate(rows).astype(np.int64))
-                columns = [np.concatenate(grams).astype(np.int64), b.column(0).take(at), b.column(1).take(at), np.concatenate(places).astype(np.int32), np.concatenate(main)]
-                yield common.batch(_FOUND, columns)
+                yield common.batch(_FOUND, [h.astype(np.int64), b.column(0).take(at), b.column(1).take(at), where.astype(np.int32), main.astype(bool)])
 
     return keyed.select("_id", "_row", "text").mapInArrow(scan, "gram long, _id long, _row long, at int, main boolean")
 
 
+def _bit(h: np.ndarray) -> np.ndarray:
+    return h & np.uint64(FILTER_BITS - 1)
+
+
+def _filter(often: DataFrame) -> np.ndarray:
+    """A bitmap of FILTER_BITS bits that has the bit of every repeated gram: 16 MB, whatever the input.  Where it fills
+    up, it leaves less out, and the join behind it does the rest."""
+    low = F.col("gram").bitwiseAND(FILTER_BITS - 1)
+    words = often.groupBy(F.shiftright(low, 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(gram & 63 AS INT)))").alias("bits")).toArrow()
+    out = np.zeros(FILTER_BITS >> 6, np.uint64)
+    out[words.column(0).to_numpy()] = words.column(1).to_numpy().view(np.uint64)
+    return out
+
+
 def _sides(text: bytes, at: int, length: int, gram: int) -> tuple[bytes, bytes]:
     return text[max(0, at - length + gram) : at][::-1], text[at : at + length]
 
@@ -278,14 +299,18 @@ def _counted(contexts: DataFrame, length: int, gram: int) -> DataFrame:
 
         rows: list[tuple] = []
         for b in batches:
-            rows += zip(*(c.to_pylist() for c in b.columns), strict=True)
-            if len(rows) >= CHUNK:
-                yield done(rows)
-                rows = []
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if rows and rows[-1][1] == row[1]:
+                    rows[-1] = (*row[:4], rows[-1][4] + row[4])
+                    continue
+                if len(rows) == CHUNK:
+                    yield done(rows)
+                    rows = []
+                rows.append(row)
         if rows:
             yield done(rows)
 
-    dealt = contexts.select("gram", "context", "left", "right", "n").repartition("gram", F.pmod(F.hash("context"), F.lit(MOST)))
+    dealt = contexts.select("gram", "context", "left", "right", "n").repartition("gram", F.pmod(F.hash("context"), F.lit(MOST))).sortWithinPartitions("gram", "context")
     strings = common.stored(dealt.mapInArrow(scan, "string binary, context binary, left int, n long"), "strings")
     place = F.when(F.col("context").isNotNull(), F.struct("context", "left"))
     over = strings.where("n > 0").groupBy("string").agg(F.sum("n").alias("n"), F.collect_set(place).alias("places")).where("n > 1")
@@ -300,8 +325,8 @@ def _counted_ranges(contexts: DataFrame, length: int, gram: int) -> DataFrame:
 def _contexts(docs: DataFrame, length: int, gram: int, dense: int) -> DataFrame:
     """The stored uses of all repeated anchors, see ``_uses``."""
     keyed = docs.select(*common.row_key(), "text")
-    found = _anchors(keyed, length, gram, dense)
-    often = common.stored(found.groupBy("gram").count().where("count > 1"), "often")
+    often = common.stored(_anchors(keyed, length, gram, dense).groupBy("gram").count().where("count > 1"), "often")
+    found = _anchors(keyed, length, gram, dense, docs.sparkSession.sparkContext.broadcast(_filter(often)))
     most = max(MOST, (often.agg(F.sum("count")).first()[0] or 0) // MOST_GRAMS)
     many = often.where(F.col("count") > most).select("gram", F.ceil(F.col("count") / most).alias("salts"))  # fewer than MOST_GRAMS
     salt = F.coalesce(F.pmod(F.xxhash64("_row", "at"), "salts"), F.lit(0).cast("long")).alias("salt")

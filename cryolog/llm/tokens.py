@@ -1,8 +1,9 @@
-"""Token ids of whole texts by a public tokenizer file, cached by word.
+"""Token ids of whole texts by a public tokenizer file, cached by pre-token.
 
-Both vocabularies used here cut a text at white space before they merge anything, so the ids of a text are the ids of
-its words one after another.  Most words come from a bounded cache.  A new word of Latin letters goes straight to the
-library's BPE model; anything else, and a text with unusual white space, goes through the library's whole encoder.
+Both vocabularies used here cut a text by a published pattern before they merge anything, so the ids of a text are the
+ids of its pieces one after another.  A text of Latin letters, digits and common marks is cut here by that pattern, and
+its pieces come from a bounded cache in front of the library's BPE model; any other text, and one that may hold a special
+token, goes through the library's whole encoder.
 """
 
 from __future__ import annotations
@@ -12,15 +13,16 @@ import struct
 
 import numpy as np
 
-_UNSURE = re.compile("[\x1c-\x1f]")  # white space for Python, not for the tokenizers
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]*)")
-_ENTRIES, _LONGEST = 600_000, 48
+_ENTRIES, _LONGEST = 1_000_000, 48
 _PACK = [struct.Struct(f"<{n}I").pack for n in range(64)]
 _OPEN: dict[tuple[str, bool], "TextEncoder"] = {}
 
-
-class _Irregular(Exception):
-    """White space that only the whole text explains."""
+# fixed values: letters, and the patterns of the two vocabularies over them
+_LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ſ"
+_ORDINARY = re.compile(rf"[\x00-\x1b\x20-\x7f{_LETTERS}‐-‧€]*")
+_SUFFIXES = "'s|'t|'re|'ve|'m|'ll|'d"
+_WITH_SPACE = re.compile(rf"{_SUFFIXES}| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s{_LETTERS}0-9]+|\s+(?!\S)|\s+")
+_WITHOUT_SPACE = re.compile(rf"{_SUFFIXES}|[{_LETTERS}]+|[0-9]|[^\s{_LETTERS}0-9]+")
 
 
 def _byte_alphabet() -> dict[int, str]:
@@ -33,18 +35,18 @@ def _byte_alphabet() -> dict[int, str]:
 _ALPHABET = _byte_alphabet()
 
 
-class _Words(dict):
-    """Ids by word; when it is full, new words stay out, and once many have, it starts anew."""
+class _Pieces(dict):
+    """Ids by piece; when it is full, new ones stay out, and once many have, it starts anew."""
 
-    def __init__(self, encode):
+    def __init__(self, merge):
         super().__init__()
-        self.encode, self.left_out = encode, 0
+        self.merge, self.left_out = merge, 0
 
-    def __missing__(self, word: str) -> bytes:
-        ids = self.encode(word)
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.merge(piece)
         if len(self) < _ENTRIES:
-            if len(word) <= _LONGEST:
-                self[word] = ids
+            if len(piece) <= _LONGEST:
+                self[piece] = ids
         else:
             self.left_out += 1
             if self.left_out > 10 * _ENTRIES:
@@ -64,57 +66,22 @@ class TextEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.model, self.spaces = self.tokenizer.model, spaces
-        self.words, self.first = _Words(self._word), _Words(self._first_word)
-        self.newline = self.whole("\n")
+        self.cut = (_WITH_SPACE if spaces else _WITHOUT_SPACE).findall
+        self.pieces = _Pieces(self._merged)
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _merged(self, text: str) -> bytes:
-        shown = text.replace(" ", "Ġ") if text.isascii() else text.encode().decode("latin-1").translate(_ALPHABET)
-        ids = [t.id for t in self.model.tokenize(shown)]
+    def _merged(self, piece: str) -> bytes:
+        plain = piece.isascii() and piece.isprintable()
+        ids = [t.id for t in self.model.tokenize(piece.replace(" ", "Ġ") if plain else piece.encode().decode("latin-1").translate(_ALPHABET))]
         return _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else struct.pack(f"<{len(ids)}I", *ids)
 
-    def _plain(self, word: str, before: str, words: _Words) -> bytes | None:
-        if not (m := _PLAIN.fullmatch(word)):
-            return None
-        body, marks = m.groups()
-        if marks:
-            return words[body] + self._merged(marks)
-        return self._merged(before + body if self.spaces else body.lower())
-
-    def _word(self, word: str) -> bytes:
-        """A word after a space; it may hold other white space, but only between two visible characters."""
-        if (ids := self._plain(word, " ", self.words)) is not None:
-            return ids
-        if not self.spaces:
-            return self.whole(word)
-        if not word or word[0].isspace() or word[-1].isspace():
-            raise _Irregular
-        head, line, tail = word.partition("\n")
-        if line and "\n" not in tail and not head[-1].isspace() and not tail[0].isspace():
-            return self.words[head] + self.newline + self.first[tail]
-        return self.whole(" " + word)
-
-    def _first_word(self, word: str) -> bytes:
-        """A word with no space before it."""
-        ids = self._plain(word, "", self.first)
-        return self.whole(word) if ids is None else ids
-
     def encode(self, text: str) -> bytes:
-        if _UNSURE.search(text):
-            return self.whole(text)
-        if not self.spaces:
-            return b"".join(map(self.words.__getitem__, text.split()))
-        first, *rest = text.split(" ")
-        try:
-            if not first or first[0].isspace() or first[-1].isspace():
-                raise _Irregular
-            return self.first[first] + b"".join(map(self.words.__getitem__, rest))
-        except _Irregular:
+        if "<|" in text or not _ORDINARY.fullmatch(text):
             return self.whole(text)
+        return b"".join(map(self.pieces.__getitem__, self.cut(text if self.spaces else text.lower())))
 
 
 def encoder(path: str, spaces: bool) -> TextEncoder:
