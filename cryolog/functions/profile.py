@@ -34,3 +34,18 @@ ALIASES = {
     "KOND": "KONDANSER", "VACUUM": "VACUM",
 }
 STEP_COLUMNS = ["RECETE NO", "RECETE ADIM"]
+# fixed values: other names under which stored rows may hold a channel of the rules, the first present one counts
+LOOKUPS = {
+    "E.GUC": ["E.GUC", "E_GUC", "POWER"], "TARTIM": ["TARTIM", "WEIGHT"], "VACUM": ["VACUM", "VACUUM"],
+    "S1": ["S1", "S 1"], "S2": ["S2", "S 2", "SERP2"], "S3": ["S3", "S 3"], "S4": ["S4", "S 4", "SERP4"],
+}
+SHELF_AVERAGE = "RAF_AVG"
+# fixed values: unit, group and axis of the channels, in their order
+CHANNELS = {
+    "RAF1": ("°C", "shelf", "main"), "RAF2": ("°C", "shelf", "main"), "RAF3": ("°C", "shelf", "main"), "RAF4": ("°C", "shelf", "main"), "RAF_AVG": ("°C", "shelf", "main"),
+    "L_PRES": (None, "pressure", "main"), "H_PRES": (None, "pressure", "main"), "VACUM": (None, "vacuum", "vacuum"),
+    "S1": ("°C", "cooling", "main"), "S2": ("°C", "cooling", "main"), "S3": ("°C", "cooling", "main"), "S4": ("°C", "cooling", "main"),
+    "SERP2": ("°C", "cooling", "main"), "SERP4": ("°C", "cooling", "main"), "KONDANSER": ("°C", "cooling", "main"),
+    "TARTIM": ("kg", "other", "main"), "E.GUC": (None, "other", "main"), "E.TUKETIM": (None, "other", "main"),
+}
+GROUPS = ["shelf", "pressure", "vacuum", "cooling", "other"]

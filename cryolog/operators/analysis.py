@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.profile import COILS, SHELVES, Profile
+from ..functions.profile import COILS, LOOKUPS, SHELVES, Profile
 
 ORDER = ["ms", "seq"]
 
@@ -19,6 +19,13 @@ def shelf_off(value: Column, p: Profile) -> Column:
     return F.abs(value - p.shelf_off_value) <= p.shelf_off_tolerance
 
 
+def with_lookups(frames: DataFrame) -> DataFrame:
+    """The channels of the rules, each by the first of its names that a frame has a value for; their other names go."""
+    present = {code: [n for n in names if n in frames.columns] for code, names in LOOKUPS.items()}
+    values = {code: F.coalesce(*(F.col(f"`{n}`") for n in names)) for code, names in present.items() if names}
+    return frames.withColumns(values).drop(*(n for code, names in present.items() for n in names if n != code))
+
+
 def with_basics(frames: DataFrame, p: Profile) -> DataFrame:
     """active (shelves on), coil (hottest), gap_min to the frame before, chain (a new one after a gap beyond the limit)."""
     run = Window.partitionBy("run_id").orderBy(*ORDER)

@@ -25,6 +25,38 @@ def gap_events(rows: DataFrame, order: str, stored_max: DataFrame | None = None,
     return rows.withColumn("before", before).select("run_id", "seq", gap.alias("gap_seconds"), kind.alias("event_type")).where("event_type IS NOT NULL")
 
 
+def append_gap_events(rows: DataFrame, seconds: float = 360) -> DataFrame:
+    """The same over a history of appended batches (batch_id): a batch's first row is compared with the largest time that any
+    batch before it stored, the others with the row before."""
+    run = Window.partitionBy("run_id")
+    best = F.max("ms").over(run.orderBy("batch_id").rangeBetween(Window.unboundedPreceding, -1))
+    before = F.coalesce(F.lag("ms").over(Window.partitionBy("run_id", "batch_id").orderBy("seq")), best)
+    gap = (F.col("ms") - F.col("before")) / 1000.0
+    kind = F.when(gap < 0, "timestamp_out_of_order").when(gap > seconds, "time_gap")
+    return rows.withColumn("before", before).select("run_id", "batch_id", "seq", gap.alias("gap_seconds"), kind.alias("event_type")).where("event_type IS NOT NULL")
+
+
+def appended_runs(runs: DataFrame, frames: DataFrame) -> DataFrame:
+    """``runs`` (run_id, status, started_ms, finished_ms) after an append, with all ``frames`` of the touched ones: a start only
+    moves to an earlier time, the finish is that of the frames, and an imported run becomes a running one."""
+    new = frames.groupBy("run_id").agg(F.min("ms").alias("_first"), F.max("ms").alias("_last"))
+    status = F.when(F.col("_last").isNotNull() & (F.col("status") == "imported"), "running").otherwise(F.col("status"))
+    joined = runs.join(new, "run_id", "left")
+    return joined.select("run_id", status.alias("status"), F.least("started_ms", "_first").alias("started_ms"), F.coalesce("_last", "finished_ms").alias("finished_ms"))
+
+
+def late_samples(batch: DataFrame, stored_max: DataFrame) -> DataFrame:
+    """``batch`` with ``late``: older than what its run (run_id, max_ms) has stored.  Late samples are kept, never dropped."""
+    return batch.join(stored_max, "run_id", "left").withColumn("late", F.coalesce(F.col("ms") < F.col("max_ms"), F.lit(False))).drop("max_ms")
+
+
+def next_sequences(frames: DataFrame, checkpoints: DataFrame) -> DataFrame:
+    """Of each run, the sequence that the next record gets: behind the last frame and the tail's checkpoint (run_id, next_seq), 1 at least."""
+    last = frames.groupBy("run_id").agg(F.max("seq").alias("last_seq"))
+    joined = last.join(checkpoints.select("run_id", F.col("next_seq").alias("_checkpoint")), "run_id", "full")
+    return joined.select("run_id", F.greatest(F.coalesce("last_seq", F.lit(0)) + 1, F.coalesce("_checkpoint", F.lit(1)), F.lit(1)).alias("next_seq"))
+
+
 def bounds(frames: DataFrame) -> DataFrame:
     return frames.groupBy("run_id").agg(F.min("ms").alias("started_ms"), F.max("ms").alias("finished_ms"), F.count("*").alias("rows"), F.max("seq").alias("last_seq"))
 
@@ -38,7 +70,7 @@ def status_fold(log: DataFrame) -> DataFrame:
 
 def match_states(codes: DataFrame, states: DataFrame) -> DataFrame:
     """``codes`` (code) to recipe ``states`` (state_id, code, external_code, sort_order): own code before external code."""
-    by = lambda column, rank: codes.alias("x").join(F.broadcast(states).alias("t"), F.col("x.code") == F.col(f"t.{column}")).select("x.code", "t.state_id", "t.sort_order", F.lit(rank).alias("rank"))
+    by = lambda column, rank: codes.alias("x").join(states.alias("t"), F.col("x.code") == F.col(f"t.{column}")).select("x.code", "t.state_id", "t.sort_order", F.lit(rank).alias("rank"))
     both = by("code", 0).unionByName(by("external_code", 1))
     best = F.row_number().over(Window.partitionBy("code").orderBy("rank", "sort_order", "state_id"))
     return both.withColumn("_n", best).where("_n = 1").select("code", "state_id")

@@ -60,3 +60,10 @@ def merge_incremental(current: DataFrame, incoming: DataFrame, limit: int) -> Da
     one = both.withColumn("_n", F.row_number().over(Window.partitionBy("run_id", "seq").orderBy(F.desc("_new")))).where("_n = 1")
     last = F.row_number().over(Window.partitionBy("run_id").orderBy(F.desc("seq")))
     return one.withColumn("_n", last).where(F.col("_n") <= limit).drop("_n", "_new")
+
+
+def quality_buckets(events: DataFrame) -> DataFrame:
+    """Of each run, the events in all, gaps, suspect values and others."""
+    kind = F.col("event_type")
+    named = ["time_gap", "suspect_value"]
+    return events.groupBy("run_id").agg(F.count("*").alias("total"), *(F.count_if(kind == n).alias(n) for n in named), F.count_if(~kind.isin(named)).alias("other"))

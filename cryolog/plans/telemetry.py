@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import parse
 from ..functions.profile import Profile
 from ..operators import analysis as an
-from ..operators import ingest, series
+from ..operators import ingest, series, views
 
 P = Profile(state_reset_gap_minutes=40.0)
 CHANNELS = ["RAF1", "RAF2", "VACUM", "S2", "S4", "E.GUC", "TARTIM"]
@@ -152,11 +152,7 @@ def _swapped(spark: SparkSession, d: str) -> DataFrame:
 @query
 def e2_append_gap_events(spark, d):
     rows = _swapped(spark, d).withColumn("batch_id", F.floor((F.col("seq") - 1) / 10))
-    best = F.max("ms").over(Window.partitionBy("run_id").orderBy("batch_id").rangeBetween(Window.unboundedPreceding, -1))
-    before = F.coalesce(F.lag("ms").over(Window.partitionBy("run_id", "batch_id").orderBy("seq")), best)
-    gap = (F.col("ms") - F.col("before")) / 1000.0
-    kind = F.when(gap < 0, "timestamp_out_of_order").when(gap > 360, "time_gap")
-    return rows.withColumn("before", before).select("run_id", "seq", kind.alias("event_type")).where("event_type IS NOT NULL")
+    return ingest.append_gap_events(rows).select("run_id", "seq", "event_type")
 
 
 @query
@@ -266,7 +262,7 @@ def c8_idempotent_append(spark, d):
 @query
 def c14_interval_overlap(spark, d):
     lo, hi = 1704067200000 + 3_600_000 * 2, 1704067200000 + 3_600_000 * 8
-    return an.segments(_looped(spark, d)).where((F.coalesce("finished_ms", "started_ms") >= lo) & (F.col("started_ms") <= hi)).select("run_id", "segment", "state")
+    return views.overlapping(an.segments(_looped(spark, d)), lo, hi).select("run_id", "segment", "state")
 
 
 def _raw(spark: SparkSession, d: str) -> DataFrame:

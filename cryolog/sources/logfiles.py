@@ -18,18 +18,23 @@ HEADER_BYTES = 65536
 
 def listing(spark: SparkSession, folder: str, pattern: str = "*.csv", copies: bool = False) -> DataFrame:
     """path, folder, file, modified, content of files whose name matches ``pattern`` (one ``*``, any case); numbered download copies only on request."""
-    wanted = "(?i)^" + ".*".join(rf"\Q{part}\E" for part in pattern.split("*", 1)) + "$"
     name = F.element_at(F.split("path", "/"), -1)
     found = spark.read.format("binaryFile").load(folder).select("path", name.alias("file"), F.col("modificationTime").alias("modified"), "content")
-    found = found.withColumn("folder", F.expr("left(path, length(path) - length(file) - 1)")).where(F.col("file").rlike(wanted))
-    return found if copies else found.where(~F.coalesce(parse.is_download_copy(F.col("file")), F.lit(False)))
+    found = found.withColumn("folder", F.expr("left(path, length(path) - length(file) - 1)"))
+    return found.where(wanted(F.col("file"), pattern, copies))
+
+
+def wanted(name: Column, pattern: str = "*.csv", copies: bool = False) -> Column:
+    """Whether a file of this name is read."""
+    matches = name.rlike("(?i)^" + ".*".join(rf"\Q{part}\E" for part in pattern.split("*", 1)) + "$")
+    return matches if copies else matches & ~F.coalesce(parse.is_download_copy(name), F.lit(False))
 
 
 def ranked(files: DataFrame, by: str = "folder") -> DataFrame:
     """``rank`` within a folder: dated files by date and path, then the others by modification time and path."""
     date = parse.file_date(F.col("file"))
     order = Window.partitionBy(by).orderBy(date.isNull(), date, F.when(date.isNull(), F.col("modified")), "path")
-    return files.withColumn("rank", F.row_number().over(order))
+    return files.withColumn("rank", F.row_number().over(order).cast("long"))
 
 
 def unseen(files: DataFrame, imported: DataFrame) -> DataFrame:

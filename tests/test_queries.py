@@ -6,9 +6,9 @@ import duckdb
 import pandas as pd
 import pytest
 
-from cryolog.plans import imports, oracle, telemetry
+from cryolog.plans import imports, oracle, stored, telemetry
 
-QUERIES, SQL = telemetry.queries() | imports.queries(), oracle.oracle_sql() | imports.oracle_sql()
+QUERIES, SQL = telemetry.queries() | imports.queries() | stored.queries(), oracle.oracle_sql() | imports.oracle_sql() | stored.oracle_sql()
 SF = "/root/testdata/sf0.001"
 
 
