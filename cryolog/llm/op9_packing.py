@@ -1,10 +1,13 @@
 """Retrieval packing: windows filled with a seed document and its nearest unused neighbours by BM25.
 
-The documents are dealt by a hash of their row into index shards of about SHARD_BYTES of text.  A shard is an inverted
-index over token ids, scored with document frequencies and the mean length of the whole corpus.  Document by document,
-the next unused one opens a window; its best unused neighbours fill it in order of score, and the last of them is cut
-where the window ends, its rest opening the next window.  So only a shard's last window has padding.  Documents of a
-window or more give whole windows first.
+The documents are sorted by content, the three smallest hashes among their ROUTE_TERMS rarest terms one after another, and
+cut by range into index shards of about SHARD_BYTES of text, so that texts that share rare terms tend to lie in one.  A
+shard is an inverted index over token ids, scored with document frequencies and the mean length of the whole corpus.
+Document by document, the next unused one opens a window; all its terms are asked for, and its best unused neighbours
+fill the window in order of score.  The last of them is cut where the window ends, its rest opening the next window.  So
+only a shard's last window has padding.  Documents of a window or more give whole windows first.
+
+A stated limit: neighbours come from the seed's own shard, so the work for a document does not grow with the corpus.
 
 A null text is empty and has the end id only.  Repeated rows are documents of their own; other columns are ignored.
 """
@@ -16,39 +19,47 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 from .tokens import encoder
 
-WINDOW, SHARD_BYTES, QUERY_TERMS, K1, B = 4096, 4 << 20, 24, 1.2, 0.75
+WINDOW, SHARD_BYTES, ROUTE_TERMS, K1, B = 4096, 16 << 20, 12, 1.2, 0.75
+
+
+def gains(tf: np.ndarray, idf: np.ndarray, lengths: np.ndarray | int, mean: float) -> np.ndarray:
+    """What terms of these frequencies and idf add to a document's BM25 score."""
+    return (idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths / mean))).astype(np.float32)
 
 
 class Index:
     """BM25 over one shard, a document's tokens as its terms."""
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float):
-        terms, counts = zip(*(np.unique(d, return_counts=True) for d in docs), strict=True)
-        owner = np.repeat(np.arange(len(docs), dtype=np.int32), [len(t) for t in terms])
+        self.terms, counts = zip(*(np.unique(d, return_counts=True) for d in docs), strict=True)
+        owner = np.repeat(np.arange(len(docs), dtype=np.int32), [len(t) for t in self.terms])
         lengths = np.array([len(d) for d in docs])
-        flat, tf = np.concatenate(terms), np.concatenate(counts)
-        gain = (idf[flat] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[owner] / mean))).astype(np.float32)
+        flat, tf = np.concatenate(self.terms), np.concatenate(counts)
+        gain = gains(tf, idf[flat], lengths[owner], mean)
         order = np.argsort(flat, kind="stable")
         self.owner, self.gain = owner[order], gain[order]
         self.starts = np.searchsorted(flat[order], np.arange(len(idf) + 1))
-        at = np.concatenate([[0], np.cumsum([len(t) for t in terms])])
-        self.queries = [terms[i][np.argsort(-gain[at[i] : at[i + 1]], kind="stable")[:QUERY_TERMS]] for i in range(len(docs))]
         self.unused = np.ones(len(docs), np.float32)
 
     def neighbours(self, seed: int, most: int = 64) -> list[int]:
-        """Unused documents that share a query term with ``seed``, best first."""
+        """The best unused documents that share a term with ``seed``, best first and ties in order; ask again for more."""
         scores = np.zeros(len(self.unused), np.float32)
-        for t in self.queries[seed]:
+        for t in self.terms[seed]:
             a, b = self.starts[t], self.starts[t + 1]
             scores[self.owner[a:b]] += self.gain[a:b]
         scores *= self.unused
-        top = np.argpartition(-scores, most)[:most] if len(scores) > most else np.arange(len(scores))
+        if len(scores) > most:
+            least = np.partition(scores, -most)[-most]
+            top = np.concatenate([np.flatnonzero(scores > least), np.flatnonzero(scores == least)])[:most]
+        else:
+            top = np.arange(len(scores))
         top = top[scores[top] > 0]
         return top[np.lexsort((top, -scores[top]))].tolist()
 
@@ -95,19 +106,38 @@ def windows(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int) -
         yield pieces
 
 
-def _encoded(docs: DataFrame, tokenizer: str, end_id: int, shards: int) -> DataFrame:
-    schema = pa.schema([("shard", pa.int32()), ("_id", pa.int64()), ("_row", pa.int64()), ("ids", pa.binary())])
+def _encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
+    schema = pa.schema([("doc_id", pa.int64()), ("_row", pa.int64()), ("ids", pa.binary())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, end = encoder(tokenizer, spaces=False), np.array([end_id], "<u4").tobytes()
+        small = max(coder.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16
         for b in batches:
-            ids = [np.frombuffer(coder.encode(t or "") + end, "<u4") for t in b.column(3).to_pylist()]
-            small = coder.tokenizer.get_vocab_size() <= 1 << 16
+            ids = [np.frombuffer(coder.encode(t or "") + end, "<u4") for t in b.column(2).to_pylist()]
             packed = [b"\2" + x.astype("<u2").tobytes() if small else b"\4" + x.tobytes() for x in ids]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(packed, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(packed, pa.binary())], schema=schema)
+
+    return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("_row"), "text").mapInArrow(scan, "doc_id long, _row long, ids binary")
+
+
+def route(ids: np.ndarray, idf: np.ndarray, mean: float) -> int:
+    """Place of a document in the content order: three hashes of 16 bits, smallest first."""
+    terms, tf = np.unique(ids, return_counts=True)
+    rare = terms[np.argsort(-gains(tf, idf[terms], len(ids), mean), kind="stable")[:ROUTE_TERMS]]
+    first = np.sort(rare.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(48))[:3].tolist()
+    a, b, c = first + [(1 << 16) - 1] * (3 - len(first))
+    return a << 32 | b << 16 | c
 
-    shard = F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int").alias("shard")
-    return docs.select(shard, *common.row_key(), "text").mapInArrow(scan, "shard int, _id long, _row long, ids binary")
+
+def _routed(encoded: DataFrame, statistics: Broadcast) -> DataFrame:
+    schema = pa.schema([("place", pa.int64()), ("doc_id", pa.int64()), ("_row", pa.int64()), ("ids", pa.binary())])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            places = pa.array([route(_ids(x), *statistics.value) for x in b.column(2).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([places, *b.columns], schema=schema)
+
+    return encoded.mapInArrow(scan, "place long, doc_id long, _row long, ids binary")
 
 
 def _ids(packed: bytes) -> np.ndarray:
@@ -147,33 +177,29 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int = WINDOW,
     from tokenizers import Tokenizer
 
     common.small_batches(docs.sparkSession)
-    encoded = common.stored(_encoded(docs, tokenizer, end_id, common.parts_for(docs, shard_bytes)), "ids")
+    shards = common.parts_for(docs, shard_bytes)
+    encoded = common.stored(_encoded(docs, tokenizer, end_id), "ids")
     statistics = docs.sparkSession.sparkContext.broadcast(_statistics(encoded, max(Tokenizer.from_file(tokenizer).get_vocab_size(), end_id + 1)))
+    routed = common.stored(_routed(encoded, statistics), "routed")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf, mean = statistics.value
-        shard, names, ids = None, [], []
-
-        def done() -> Iterator[pa.RecordBatch]:
-            rows = []
-            for number, pieces in enumerate(windows(ids, idf, mean, window)):
-                offset = 0
-                for i, start, length in pieces:
-                    rows.append((names[i], start, length, zlib.crc32(ids[i][start : start + length].astype("<u4").tobytes()), len(ids[i]), shard << 32 | number, offset))
-                    offset += length
-            for i in range(0, len(rows), 10_000):
-                yield common.batch(_PIECES, zip(*rows[i : i + 10_000], strict=True))
-
+        names, ids, shard = [], [], TaskContext.get().partitionId()
         for b in batches:
-            for s, name, packed in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if s != shard and names:
-                    yield from done()
-                    names, ids = [], []
-                shard = s
-                names.append(None if name == -(2**63) else name)
-                ids.append(_ids(packed))
-        if names:
-            yield from done()
-
-    ordered = encoded.repartition("shard").sortWithinPartitions("shard", "_id", "_row").select("shard", "_id", "ids")
+            names += b.column(0).to_pylist()
+            ids += map(_ids, b.column(1).to_pylist())
+        rows = []
+        for number, pieces in enumerate(windows(ids, *statistics.value, window) if ids else ()):
+            offset = 0
+            for i, start, length in pieces:
+                rows.append((names[i], start, length, zlib.crc32(ids[i][start : start + length].astype("<u4").tobytes()), len(ids[i]), shard << 32 | number, offset))
+                offset += length
+            if len(rows) >= 10_000:
+                yield common.batch(_PIECES, zip(*rows, strict=True))
+                rows = []
+        if rows:
+            yield common.batch(_PIECES, zip(*rows, strict=True))
+
+    # a range is a shard; rows of one place, such as copies, are cut apart by id and row where they are more than that
+    order = ["place", "doc_id", "_row"]
+    ordered = routed.repartitionByRange(shards, *order).sortWithinPartitions(*order).select("doc_id", "ids")
     return ordered.mapInArrow(place, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
