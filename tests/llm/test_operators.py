@@ -6,6 +6,7 @@ import random
 import re
 import sys
 import zlib
+from html.parser import HTMLParser
 from pathlib import Path
 
 import numpy as np
@@ -237,10 +238,93 @@ def test_pages(spark):
     assert out[3] == ("t3\na&b t3\nmore t3", 18 - 1) and out[7] == ("", 0) and out[8][0] == "plain text" and out[9][0] == "one\ntwo"
 
 
-def test_wrapper_has_slots_repeats_and_options():
-    a = op7_wrappers.wrapper_of("<ul><li>1<li>2</ul><p>x</p>")
-    b = op7_wrappers.wrapper_of("<ul><li>1<li>2<li>3</ul><div>d</div><p>y</p>")
-    assert [n[0] for n in op7_wrappers.align(a, b)] == ["<", "+", ">", "?", "<", "T", ">"]
+def article_of(page: str) -> str:
+    """Blocks of the article by the standard library's parser, for well-formed pages."""
+    out: list[list[str]] = []
+
+    class Parser(HTMLParser):
+        depth = 0
+
+        def handle_starttag(self, tag, attrs):
+            self.depth += tag == "article"
+            if tag in ("h1", "p", "article"):
+                out.append([])
+
+        def handle_endtag(self, tag):
+            self.depth -= tag == "article"
+
+        def handle_data(self, data):
+            if self.depth:
+                out[-1].append(data)
+
+    Parser(convert_charrefs=True).feed(page)
+    return "\n".join(t for t in (" ".join("".join(x).split()) for x in out) if t)
+
+
+def test_pages_against_plain_parser(spark):
+    pages = common.read(spark, "/root/testdata/sf0.001", "pages")
+    want = {r.page_id: article_of(r.html or "") for r in pages.collect()}
+    got = {r.page_id: r for r in op7_wrappers.main_text(pages).collect()}
+    assert {i: r.text for i, r in got.items()} == want and all(r.n_chars == len(r.text) for r in got.values())
+
+
+def test_pages_without_telling_names(spark):
+    """Only what differs from page to page tells the text from the menu, the notice and the imprint."""
+
+    def page(i: int) -> str:
+        some = f"<div class=xc>now and then {i}</div>" if i % 2 else ""
+        body = "".join(f"<p>paragraph {i} {k} of some length, as texts have</p>" for k in range(1 + i % 3))
+        return f"<html><body><div class=xa><a href=a>Home</a> <a href=b>About {i}</a></div><div class=xb><h2>title {i}</h2><div class=xd>Always the same line.</div>{body}</div>{some}<div class=xe>All rights kept</div></body></html>"
+
+    want = lambda i: "\n".join([f"title {i}"] + [f"paragraph {i} {k} of some length, as texts have" for k in range(1 + i % 3)])
+    schema = "page_id long, url string, html string, host string, text string, rules string, wrapper string"
+    rows = [(i, f"http://x.y/{i}", page(i), "", "", "", "") for i in range(40)]
+    rows += [(100 + i, "https://copies.org/a", page(7), "", "", "", "") for i in range(12)]
+    out = op7_wrappers.main_text(spark.createDataFrame(rows + rows[:3], schema).repartition(5))
+    got = {r.page_id: r.text for r in out.collect()}
+    assert out.count() == len(rows) + 3 and all(got[i] == want(i) for i in range(40))
+    assert op7_wrappers.extract(page(1), None) != want(1)  # without the wrapper
+    assert {want(7) in got[100 + i] or got[100 + i].startswith("title 7") for i in range(12)} == {True}  # copies alone have no constants
+    assert op7_wrappers.main_text(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_wrapper_is_a_union_free_expression():
+    a = op7_wrappers.Wrapper.of("<ul><li>1<li>2</ul><p>x</p>")
+    b = op7_wrappers.Wrapper.of("<ul><li>1<li>2<li>3</ul><div>d</div><p>y</p>")
+    c = op7_wrappers.Wrapper.of("<ul><li>1</ul><p>x</p>")
+    assert a.align(b).align(c).pattern() == "<ul><li>#</>+</><p>#</><div>=</>?"
+
+
+def test_wrappers_do_not_depend_on_order(monkeypatch):
+    monkeypatch.setattr(op7_wrappers, "MOST_NAMES", 6)
+    r = random.Random(5)
+    pages = ["<body>" + "".join(f"<div class={'abcdefgh'[r.randrange(8)] * r.randint(1, 2)}><p>{r.choice(['same', str(i)])}</div>" for _ in range(r.randint(1, 9))) for i in range(30)]
+
+    def rules(order: list[str], parts: int) -> dict:
+        merged = []
+        for k in range(parts):
+            held = None
+            for p in order[k::parts]:
+                new = op7_wrappers.Wrapper.of(p)
+                held = new if held is None else held.align(new)
+            merged.append(op7_wrappers.Wrapper.loads(held.dumps()))
+        held = merged[0]
+        for w in merged[1:]:
+            held = held.align(w)
+        return {k: sorted(v) if isinstance(v, list) else v for k, v in held.rules().items()}
+
+    want = rules(pages, 1)
+    assert want["by_tag"]
+    for parts in (1, 3, 7):
+        assert rules(r.sample(pages, len(pages)), parts) == want
+
+
+def test_pages_of_many_nodes(spark):
+    """Pages of 2000 blocks of 500 kinds, and one of 300 000 characters, keep all their text."""
+    page = lambda i: "<div class=top>same line</div><div class=t>" + "".join(f"<section class=k{chr(97 + k % 20)}{chr(97 + k // 20 % 25)}><p>{i} {k}</p></section>" for k in range(2000)) + "</div>"
+    rows = [(i, "http://a.b", page(i)) for i in range(7)] + [(9, "http://l.o", "<article>" + "<p>long text</p>" * 20_000 + "</article>")]
+    got = {r.page_id: r.text for r in op7_wrappers.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == "\n".join(f"{i} {k}" for k in range(2000)) for i in range(7)) and got[9] == "\n".join(["long text"] * 20_000)
 
 
 def test_licences(spark):
@@ -284,6 +368,65 @@ def test_packing_asks_for_more_neighbours():
     assert {i for i, _, _ in first} == set(range(0, 200, 2))
 
 
+def test_packing_against_plain_bm25():
+    r = random.Random(2)
+    docs = [np.array([r.randrange(60) for _ in range(r.randint(1, 90))], np.uint32) for _ in range(120)]
+    idf = np.array([r.uniform(0.1, 5) for _ in range(60)])
+    mean, window = 40.0, 100
+    got = list(op9_packing.windows(docs, idf, mean, window))
+    used, cut, done = set(), None, [0] * len(docs)
+    for pieces in got:
+        seed = pieces[0][0]
+        assert seed == (cut if cut is not None else min(i for i in range(len(docs)) if i not in used))
+        used.add(seed)
+        scores = {}
+        for i in set(range(len(docs))) - used:
+            tf = {t: docs[i].tolist().count(t) for t in set(docs[seed].tolist()) & set(docs[i].tolist())}
+            scores[i] = sum(idf[t] * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(docs[i]) / mean)) for t, n in tf.items())
+        for i, _, _ in pieces[1:]:
+            assert scores.pop(i) >= max(scores.values(), default=0) - 1e-4
+            used.add(i)
+        for i, start, length in pieces:
+            assert start == done[i]
+            done[i] += length
+        cut = pieces[-1][0] if done[pieces[-1][0]] < len(docs[pieces[-1][0]]) else None
+    assert done == [len(d) for d in docs] and [sum(p[2] for p in x) for x in got[:-1]] == [window] * (len(got) - 1)
+
+
+def test_packing_routes_near_copies_together():
+    r = random.Random(4)
+    idf = np.array([r.uniform(0.1, 9) for _ in range(5000)])
+    docs = [np.array([r.randrange(5000) for _ in range(300)], np.uint32) for _ in range(300)]
+    near = [np.concatenate([d[:-3], [7, 8, 9]]).astype(np.uint32) for d in docs]
+    place = [op9_packing.route(d, idf, 300.0) for d in docs]
+    assert sum(op9_packing.route(d, idf, 300.0) == p for d, p in zip(near, place)) > 240 and len(set(place)) == 300
+
+
+def test_packing_of_repeated_rows_and_many_shards(spark, docs):
+    twice = docs.unionByName(docs).unionByName(docs.where("doc_id = 7").withColumn("doc_id", common.F.lit(None).cast("long")))
+    rows = op9_packing.pack(twice, vocabulary("word_bpe_49k.json"), window=64, shard_bytes=3000).collect()
+    total = sum(r.length for r in rows)
+    assert total == sum(r.doc_tokens for r in rows if r.start == 0) and len([r for r in rows if r.doc_id is None]) == 1
+    ends = {}
+    for r in rows:
+        ends.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for v in ends.values():
+        at = 0
+        for offset, length in sorted(v):
+            assert offset == at
+            at += length
+        assert at <= 64
+    assert len({r.sequence_id >> 32 for r in rows}) > 5
+
+
+def test_token_ids_are_the_library_s():
+    r, letters = random.Random(1), "abZéßÿžİı \n\t\r\x0b\x1c\xa0'’…€.,!#$0129²ªµ<|>_-\x00\x7fsntrevmld 日"
+    odd = ["".join(r.choice(letters) for _ in range(r.randint(0, 14))) for _ in range(3000)] + ["<|endoftext|>", "a <|startoftext|>b", "it's we'll I'M 'S", "  x  "]
+    for name, spaces in (("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)):
+        coder = op9_packing.encoder(vocabulary(name), spaces)
+        assert all(coder.encode(t) == coder.whole(t) for t in odd + [t or "" for t in texts()])
+
+
 def test_toxicity_learns_and_holds_out(spark):
     docs, labels = (common.read(spark, "/root/testdata/sf0.01", t) for t in ("documents", "labels"))
     model = op10_toxicity.train(docs, labels)
