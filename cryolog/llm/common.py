@@ -26,10 +26,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
-    """``df`` written once as a table in the shared folder and read again: its lineage ends there."""
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    """``df`` written once as a table in the shared folder and read again: its lineage ends there.
+
+    The shuffle files behind it are of no use then; Spark removes them once the driver's JVM has collected their owners.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:

@@ -325,15 +325,17 @@ def _counted_ranges(contexts: DataFrame, length: int, gram: int) -> DataFrame:
 def _contexts(docs: DataFrame, length: int, gram: int, dense: int) -> DataFrame:
     """The stored uses of all repeated anchors, see ``_uses``."""
     keyed = docs.select(*common.row_key(), "text")
-    often = common.stored(_anchors(keyed, length, gram, dense).groupBy("gram").count().where("count > 1"), "often")
+    counted = _anchors(keyed, length, gram, dense).groupBy("gram").agg(F.count("*").alias("count"), F.count_if("main").alias("mains"))
+    often = common.stored(counted.where("count > 1"), "often")
     found = _anchors(keyed, length, gram, dense, docs.sparkSession.sparkContext.broadcast(_filter(often)))
     most = max(MOST, (often.agg(F.sum("count")).first()[0] or 0) // MOST_GRAMS)
-    many = often.where(F.col("count") > most).select("gram", F.ceil(F.col("count") / most).alias("salts"))  # fewer than MOST_GRAMS
+    salts = F.ceil(F.col("count") / most)
+    many = often.where(F.col("count") > most).select("gram", salts.alias("salts"))  # fewer than MOST_GRAMS
     salt = F.coalesce(F.pmod(F.xxhash64("_row", "at"), "salts"), F.lit(0).cast("long")).alias("salt")
-    places = found.join(F.broadcast(many), "gram", "left").select("gram", "_id", "_row", "at", "main", F.col("salts").isNotNull().alias("many"), salt)
-    salts = F.when(F.col("count") > most, F.sequence(F.lit(0).cast("long"), F.ceil(F.col("count") / most) - 1)).otherwise(F.array(F.lit(0).cast("long")))
-    kept = often.select("gram", F.explode(salts).alias("salt"))
-    marks = places.join(kept, ["gram", "salt"]).groupBy("_id", "_row").agg(F.collect_set(F.struct("at", "gram", "main", "many")).alias("marks"))
+    places = found.join(F.broadcast(many), "gram", "left").select("gram", "_id", "_row", "at", "main", salt)
+    kept = often.select("gram", (F.col("mains") > 1).alias("compared"), (F.col("mains") > most).alias("many"), F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"))
+    mark = F.struct("at", "gram", (F.col("main") & F.col("compared")).alias("main"), "many")
+    marks = places.join(kept, ["gram", "salt"]).groupBy("_id", "_row").agg(F.collect_set(mark).alias("marks"))
     return common.stored(_uses(keyed.join(marks, ["_id", "_row"]), length, gram), "uses")
 
 
@@ -341,7 +343,7 @@ def _pieces(docs: DataFrame, length: int, gram: int, dense: int) -> DataFrame:
     """_id, _row, pieces (repeated ranges around anchors) and n_anchors (repeated ones) of the rows that have any."""
     uses = _contexts(docs, length, gram, dense)
     first = uses.where("context IS NOT NULL AND n IS NOT NULL")
-    ranges = _ranges(first.where("NOT many"), length).unionByName(_counted_ranges(first.where("many"), length, gram))
+    ranges = common.stored(_ranges(first.where("NOT many"), length).unionByName(_counted_ranges(first.where("many"), length, gram)), "ranges")
     # a context in very many texts meets its ranges once in a chunk, and the chunk's other texts there
     led = first.select("context", "chunk").join(ranges, "context")
     pieces = uses.join(led, ["context", "chunk"]).select("_id", "_row", F.struct("at", "ranges").alias("piece"), F.lit(None).cast("long").alias("n"))
