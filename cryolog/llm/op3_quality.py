@@ -4,8 +4,9 @@ Each text gets its base counts.  Four rates of it (symbols and repeated words in
 words) go into quantile sketches, one for each language, source and rate: histograms with log-linear buckets, SUB of
 them to a doubling, so a quantile is off by a thirty-second of its value at most.  Such sketches merge by adding counts
 and are the same however rows are dealt.  A group's threshold for a rate is its upper quartile plus FENCE interquartile
-ranges, and a least width, so an ordinary group loses nothing; groups of fewer than LEAST_ROWS texts take the
-thresholds of their language over all sources.  The thresholds are joined back to the texts.
+ranges, and a least width, so an ordinary group loses nothing.  It is drawn towards the threshold of its language over all
+sources with the weight of PRIOR_ROWS texts, so a group of few texts follows its language and a large one itself.  The
+thresholds are joined back to the texts.
 
 Null texts have no words and fail the base rule.  Null languages and sources are groups of their own.  Repeated rows
 are judged one by one; other columns are ignored.
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from . import common
 
 SPACE = r"[\x20\x09-\x0D]"
-SCALE, SUB, FENCE, LEAST_ROWS = 100_000, 32, 6.0, 100
+SCALE, SUB, FENCE, PRIOR_ROWS, LOW = 100_000, 32, 6.0, 100, (1 << 32) - 1
 #: rate: (numerator, denominator, least width of the fence in units of 1 / SCALE)
 RATES = {
     "symbol_rate": ("n_symbols", "n_words", SCALE // 4),
@@ -32,7 +33,7 @@ RATES = {
 def counts(docs: DataFrame) -> DataFrame:
     """doc_id, lang, source and the base counts of every row.
 
-    For words in windows found twice or more, the windows of a text are sorted as numbers that hold 40 bits of a hash
+    For words in windows found twice or more, the windows of a text are sorted as numbers that hold 32 bits of a hash
     and the window's place.  Neighbours of equal bits are sorted again by the whole hash; the places of those still
     equal go in order, and each adds as many words as there are to the next one, three at most.
     """
@@ -43,9 +44,9 @@ def counts(docs: DataFrame) -> DataFrame:
         F.transform(F.expr("sequence(1L, greatest(size(w) - 2, 1))"), lambda i: F.when(F.size("w") > 2, F.xxhash64(F.get("w", (i - 1).cast("int")), F.get("w", i.cast("int")), F.get("w", (i + 1).cast("int"))))).alias("h"),
     )
     # place in the low bits, hash in the high bits: a sort of plain numbers
-    packed = grams.withColumn("p", F.sort_array(F.expr(f"transform(filter(h, x -> x IS NOT NULL), (x, i) -> (x & ~{(1 << 24) - 1}L) | (i & {(1 << 24) - 1}L))")))
-    near = packed.withColumn("c", F.filter("p", lambda x, i: ((i > 0) & (F.shiftright(x, 24) == F.shiftright(F.get("p", i - 1), 24))) | (F.shiftright(x, 24) == F.shiftright(F.get("p", i + 1), 24))))
-    exact = near.withColumn("s", F.array_sort(F.transform("c", lambda x: F.struct(F.get("h", x.bitwiseAND((1 << 24) - 1).cast("int")).alias("h"), x.bitwiseAND((1 << 24) - 1).alias("i")))))
+    packed = grams.withColumn("p", F.sort_array(F.expr(f"transform(filter(h, x -> x IS NOT NULL), (x, i) -> (x & ~{LOW}L) | (i & {LOW}L))")))
+    near = packed.withColumn("c", F.filter("p", lambda x, i: ((i > 0) & (F.shiftright(x, 32) == F.shiftright(F.get("p", i - 1), 32))) | (F.shiftright(x, 32) == F.shiftright(F.get("p", i + 1), 32))))
+    exact = near.withColumn("s", F.array_sort(F.transform("c", lambda x: F.struct(F.get("h", x.bitwiseAND(LOW).cast("int")).alias("h"), x.bitwiseAND(LOW).alias("i")))))
     again = exact.withColumn("a", F.sort_array(F.transform(F.filter("s", lambda x, i: ((i > 0) & (x.h == F.get("s", i - 1).h)) | (x.h == F.get("s", i + 1).h)), lambda x: x.i)))
     repeat = F.aggregate(F.transform("a", lambda x, i: F.least(F.lit(3).cast("long"), F.coalesce(F.get("a", i + 1) - x, F.lit(3).cast("long")))), F.lit(0).cast("long"), lambda s, x: s + x)
     lines = F.filter(F.split("text", "\n"), lambda x: F.translate(x, " \t\n\x0b\f\r", "") != "")
@@ -94,10 +95,10 @@ def judge(docs: DataFrame) -> DataFrame:
     found = common.stored(counts(docs).withColumn("base_failed", failed), "counts")
     sketch = common.stored(sketches(found), "sketch")
     wide = lambda t: t.groupBy("lang", "source").agg(F.max("rows").alias("rows"), *(F.max(F.when(F.col("rate") == k, F.col("most"))).alias(k) for k in RATES))
-    own = wide(thresholds(sketch)).where(f"rows >= {LEAST_ROWS}")
+    own = wide(thresholds(sketch))
     of_lang = wide(thresholds(sketch.groupBy("lang", F.lit(None).cast("string").alias("source"), "rate", "bucket").agg(F.sum("n").alias("n"))))
     f, o, g = found.alias("f"), own.alias("o"), of_lang.alias("g")
     joined = f.join(o, F.expr("f.lang <=> o.lang AND f.source <=> o.source"), "left").join(g, F.expr("f.lang <=> g.lang"), "left")
-    fine = [F.floor(F.col(f"f.{a}") * SCALE / F.col(f"f.{b}")) <= F.coalesce(f"o.{k}", f"g.{k}") for k, (a, b, _) in RATES.items()]
+    fine = [F.floor(F.col(f"f.{a}") * SCALE / F.col(f"f.{b}")) <= (F.col("o.rows") * F.col(f"o.{k}") + PRIOR_ROWS * F.col(f"g.{k}")) / (F.col("o.rows") + PRIOR_ROWS) for k, (a, b, _) in RATES.items()]
     kept = ~F.col("f.base_failed") & F.coalesce(fine[0] & fine[1] & fine[2] & fine[3], F.lit(False))
     return joined.select("f.doc_id", "f.n_words", "f.word_chars", "f.n_symbols", "f.n_dup_lines", "f.n_repeat_words", "f.base_failed", kept.alias("kept"))

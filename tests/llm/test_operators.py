@@ -6,6 +6,7 @@ import random
 import re
 import sys
 import zlib
+from collections import Counter
 from html.parser import HTMLParser
 from pathlib import Path
 
@@ -155,16 +156,37 @@ def test_filters_in_blocks(spark, monkeypatch):
         assert len(got) == len(rows) and next(r.text for r in got if r.doc_id == 1).split() == cut.split()
 
 
-def test_quality_counts(docs, empty):
-    for r in op3_quality.judge(docs).collect():
-        w = re.findall(r"[^\x20\x09-\x0D]+", texts()[r.doc_id] or "")
-        grams = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
-        again = {j for i, g in enumerate(grams) if grams.count(g) > 1 for j in (i, i + 1, i + 2)} if len(w) < 2000 else None
-        assert r.n_words == len(w) and r.word_chars == sum(map(len, w))
-        assert again is None or r.n_repeat_words == len(again)
+def plain_quality(text: str | None) -> tuple[int, int, int, int, int]:
+    w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    grams = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+    n = Counter(grams)
+    again = {j for i, g in enumerate(grams) if n[g] > 1 for j in (i, i + 1, i + 2)}
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(again)
+
+
+def test_quality_counts(spark, docs, empty):
+    long = "ab cd ef gh " * 2000 + " ".join(f"w{i % 3000}" for i in range(6000)) + "\n#\n#\n \n#"
+    more = spark.createDataFrame([(100, long, None, None), (100, long, None, None), (None, "a\x1cb c\n\n", "en", None)], "doc_id long, text string, lang string, source string")
+    rows = op3_quality.judge(docs.unionByName(more, allowMissingColumns=True)).collect()
+    assert len(rows) == len(texts()) + 3
+    for r in rows:
+        text = long if r.doc_id == 100 else "a\x1cb c\n\n" if r.doc_id is None else texts()[r.doc_id]
+        want = plain_quality(text)
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want
+        assert r.base_failed == (want[0] < 50 or 100 * want[4] > 50 * want[0]) and (not r.kept or not r.base_failed)
     assert op3_quality.judge(empty).count() == 0
 
 
+def test_quality_thresholds_follow_each_group(spark):
+    """Symbols that are usual in one source are not in another; a source of few texts follows its language."""
+    word = lambda i: " ".join(f"w{i}x{k}" for k in range(60))
+    rows = [(i, word(i) + " #" * 40, "en", "code") for i in range(300)] + [(300 + i, word(i), "en", "news") for i in range(1600)]
+    rows += [(2000, word(1) + " #" * 40, "en", "news"), (2001, word(2) + " #" * 40, "en", "small"), (2002, word(3), "en", "small")]
+    got = {r.doc_id: r.kept for r in op3_quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(got[i] for i in range(1900)) and not got[2000] and not got[2001] and got[2002]
+
+
 def test_sharding(docs, empty):
     rows = op4_sharding.assign(docs.unionByName(docs)).collect()
     by: dict[int, list[int]] = {}
@@ -188,6 +210,44 @@ def test_sharding_of_copies_alone(spark):
     assert split(1500, "if(id < 400, 0, id div 3)") <= 40  # a group larger than four shards among groups of three
 
 
+def test_sharding_of_nulls_ties_and_repeated_rows(spark):
+    rows = [(None, None), (None, None), (None, ""), (7, "é" * 3), (7, "é" * 3), (8, "é" * 3), (-(2**63), "x")] + [(i, f"text {i % 9}") for i in range(60)]
+    got = op4_sharding.assign(spark.createDataFrame([(*r, "a", 1) for r in rows], "doc_id long, text string, grp string, slot int")).collect()
+    want = Counter((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in rows)
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in got) == want and {(r.law, r.grown_shard) for r in got} == {("rows", None)}
+    by = Counter(r.shard for r in got)
+    assert set(by) <= set(range(16)) and max(by.values()) - min(by.values()) <= 1
+    assert all(sorted(r.slot for r in got if r.shard == s) == list(range(n)) for s, n in by.items())
+
+
+def test_propagation_against_plain_moves(spark):
+    """No move makes a new cell or changes a shard's rows, and groups end as whole as a plain exchange leaves them."""
+    r = random.Random(8)
+    start: Counter = Counter()
+    for g in range(40):
+        for _ in range(r.randint(2, 9)):
+            start[g, r.randrange(4)] += 1
+    loads = [sum(n for (_, s), n in start.items() if s == k) for k in range(4)]
+    cells = spark.createDataFrame([(g, s, n) for (g, s), n in start.items()], "grp long, shard int, n long")
+    got = {(x.grp, x.shard): x.n for x in op4_sharding.propagate(cells, [n + 2 for n in loads]).collect()}
+    total = lambda c, k: sum(n for (g, _), n in c.items() if g == k)
+    assert set(got) <= set(start) and all(total(got, g) == total(start, g) for g in range(40))
+    assert all(sum(n for (_, s), n in got.items() if s == k) <= loads[k] + 2 for k in range(4))
+    plain_cells, cut = dict(start), lambda c: sum(1 for g in range(40) for _ in [x for x in c if x[0] == g][1:])
+    moved = True
+    while moved:  # swap whole cells of equal size while that leaves fewer cells
+        moved = False
+        for (g, a), n in list(plain_cells.items()):
+            for (h, b), m in list(plain_cells.items()):
+                if g != h and a != b and n == m and (g, b) in plain_cells and (h, a) in plain_cells and (g, a) in plain_cells and (h, b) in plain_cells:
+                    for x in ((g, a), (h, b)):
+                        del plain_cells[x]
+                    plain_cells[g, b] += n
+                    plain_cells[h, a] += m
+                    moved = True
+    assert cut(got) <= cut(plain_cells) < cut(dict(start))
+
+
 def test_grants_keep_counts():
     asked = [[0, 5, 0, 0], [0, 0, 3, 0], [4, 2, 0, 0], [7, 0, 0, 0]]
     got = op4_sharding.granted(asked, [2, 0, 0, 0])
@@ -432,4 +492,59 @@ def test_toxicity_learns_and_holds_out(spark):
     model = op10_toxicity.train(docs, labels)
     rows = op10_toxicity.scores(docs, model).join(labels, "doc_id").where("held_out").collect()
     assert sum(r.predicted == r.toxic for r in rows) / len(rows) > 0.9
+    caught, toxic = sum(r.predicted * r.toxic for r in rows), sum(r.toxic for r in rows)
+    assert caught >= 0.6 * toxic and sum(r.predicted * (1 - r.toxic) for r in rows) <= 0.02 * len(rows)
     assert op10_toxicity.train(docs, labels.limit(0)).score(b"any") < 0.01
+
+
+def plain_buckets(text: str | None) -> set[int]:
+    folded = " " + " ".join("".join(" " if c <= " " or c == "\x7f" else c.lower() if "A" <= c <= "Z" else c for c in text or "").split(" ")) + " "
+    folded = re.sub(" +", " ", folded)
+    out = set()
+    for n in (4, 5, 6):
+        for i in range(len(folded) - n + 1):
+            h = 0
+            for c in folded[i : i + n]:
+                h = (h * 0xD6E8FEB86659FD93 + ord(c) + 1) % 2**64
+            out.add((h + n) * 0x9E3779B97F4A7C15 % 2**64 >> 44)
+    return out
+
+
+def test_toxicity_against_plain_training(spark):
+    r = random.Random(6)
+    word = lambda some: "".join(r.choice(some) for _ in range(r.randint(3, 6)))
+    rows = []
+    for i in range(160):
+        bad = i % 3 == 0
+        body = [word("abcdé") for _ in range(12)] + [r.choice(["vïle", "NASTY\tthing", "grim 日本語"]) if bad and r.random() < 0.9 else word("xyz")]
+        r.shuffle(body)
+        rows.append((i, " ".join(body), int(bad)))
+    rows += [(200, None, 0), (201, "", 0), (202, " \n", 1)]
+    docs = spark.createDataFrame([(i, t, 5, "x") for i, t, _ in rows] + [(None, None, 1, "y"), (0, rows[0][1], 5, "x")], "doc_id long, text string, score int, toxic string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(3, 0), (None, 1), (1, None), (2, 7)], "doc_id long, toxic int")
+    model = op10_toxicity.train(docs, labels)
+    # the rows it may learn from: labelled, not held out; document 0 is there twice
+    known = [(plain_buckets(t), y) for i, t, y in [*rows, rows[0]] if zlib.crc32(str(i).encode()) % 4 != 2]
+    known += [(plain_buckets(None), 1)] * 0
+    n = Counter(y for _, y in known)
+    pos, neg = Counter(b for s, y in known if y for b in s), Counter(b for s, y in known if not y for b in s)
+    ratio = {}
+    for b in set(pos) | set(neg):
+        both = (pos[b] + neg[b]) / (n[0] + n[1])
+        if abs(pos[b] / n[1] - neg[b] / n[0]) / np.sqrt(both * (1.0000001 - both) * (1 / n[0] + 1 / n[1])) >= 4:
+            ratio[b] = np.log(((pos[b] + 1) / (n[1] + 2)) / ((neg[b] + 1) / (n[0] + 2)))
+    assert ratio and set(np.flatnonzero(model.weights)) == set(ratio)
+    # the weights are where the penalised likelihood is flat
+    score = lambda s: 1 / (1 + np.exp(-(model.intercept + sum(float(model.weights[b]) for b in s if b in ratio))))
+    for b, x in ratio.items():
+        slope = sum((y - score(s)) * x for s, y in known if b in s) - float(model.weights[b]) / x
+        assert abs(slope) < 1e-2
+    assert abs(sum(y - score(s) for s, y in known)) < 1e-2
+    for g in op10_toxicity.scores(docs, model).collect():
+        text = next((t for i, t, _ in rows if i == g.doc_id), None)
+        assert g.score == pytest.approx(score(plain_buckets(text)), abs=1e-5) and g.predicted == (g.score >= 0.3)
+        assert g.held_out == (zlib.crc32(("" if g.doc_id is None else str(g.doc_id)).encode()) % 4 == 2)
+    left = op10_toxicity.drop_toxic(docs, model)
+    assert left.columns == docs.columns and sum(1 for _ in left.collect()) == sum(g.score < 0.3 for g in op10_toxicity.scores(docs, model).collect())
+    assert op10_toxicity.drop_toxic(docs, op10_toxicity.train(docs, labels.where("doc_id IN (0, 1)"))).count() == docs.count()  # too few to learn from
+    assert op10_toxicity.scores(docs.limit(0), model).count() == 0
