@@ -40,7 +40,12 @@ def with_basics(frames: DataFrame, p: Profile) -> DataFrame:
 
 
 def with_states(frames: DataFrame, p: Profile) -> DataFrame:
-    """``state`` of each frame of ``with_basics``; see the README for why these windows equal the state machine."""
+    """``state`` of each frame of ``with_basics``; see the README for why these windows equal the state machine.
+
+    They do as long as no frame can meet the start and the stop condition by its vacuum, which the profile is checked for.
+    """
+    if p.start_vacuum_upper > p.stop_vacuum_lower:
+        raise ValueError("start_vacuum_upper lies above stop_vacuum_lower")
     true = lambda c: F.coalesce(c, F.lit(False))
     chain = Window.partitionBy("run_id", "chain").orderBy(*ORDER)
     block = Window.partitionBy("run_id", "chain", "blk").orderBy(*ORDER)

@@ -24,15 +24,15 @@ def outcome(spark, name, text):
 
 
 CASES = [
-    ("LogFile_2026_08_13.csv", "SAAT;RAF1;VACUM;RECETE NO;RECETE ADIM\n00:03;10;0.5;1;4\n00:08;11;0.4;1;5\n", (2, 2, 4, 0, 0)),
-    ("LogFile_2026_08_14.csv", "SAAT;RAF1;VACUM\n00:03;10;0.5\n00:04;10\n00:05;10;0.5;7\nxx;10;0.5\n00:06;10;0.5\n", (5, 3, 2, 1, 3)),
-    ("LogFile_2026_08_14 (1).csv", "SAAT;RAF1\n00:03;10\n", (1, 1, 1, 0, 0)),
-    ("excel-export.csv", '﻿TARİH SAAT;raf1;vacum;E.TUKETIM\n14.08.2026 00:03:00;"10,5";"0,4";"9.735,5"\n', (1, 1, 3, 0, 0)),
-    ("LogFile_2026_08_14.csv", "SAAT;RAF1;VACUM\n00:03;10;1\n00:04;#VALUE!;1\n\n00:05;11;1\n", (3, 3, 2, 0, 1)),
-    ("LogFile_2026_08_14.csv", "SAAT;RAF1\n00:10;1\n00:00;1\n00:05;1\n", (3, 3, 1, 1, 0)),
-    ("LogFile_2026_08_14.csv", b"SAAT;RAF1\n00:10;1\n00:11;\xff\n", (2, 1, 1, 0, 1)),
-    ("machine.csv", "SAAT;RAF1\n00:03;10\n", None),
-    ("any.csv", "TARIH SAAT;TARIH SAAT;RAF1\n", None),
+    ("LogFile_2025_02_28.csv", "SAAT;L_PRES;RAF4;RECETE ADIM\n23:41:07;-1.5;12;2\n23:44:07.5;-1.25;12.5;2\n23:47:07;-1;13;3\n", (3, 3, 3, 0, 0)),
+    ("LogFile_2025_03_01.csv", "SAAT;KOND;RAF2\n7:15;1;2\n7:16;1\n7:17;1;2;more\nnoon;1;2\n7:18;1;2\n", (5, 3, 2, 1, 3)),
+    ("logfile_2025_03_01 (12).CSV", "SAAT;H_PRES\n7:15;4e-1\n", (1, 1, 1, 0, 0)),
+    ("panel.csv", '\ufeffTARİH SAAT;serp2;e.tuketim;Kond\n3/11/2025 19:02:33;"-7,25";"1.204,75";"1,204.75"\n', (1, 1, 3, 0, 0)),
+    ("LogFile_2025_03_01.csv", "SAAT;S1;S3\n1:01;-3;#N/A\n\n1:04;#REF!;4\n1:07;5;6\n", (3, 3, 2, 0, 2)),
+    ("LogFile_2025_03_01.csv", "SAAT;RAF3\n4:20;1\n4:21;2\n4:19;3\n4:30;4\n", (4, 4, 1, 2, 0)),
+    ("LogFile_2025_03_01.csv", b"SAAT;RAF3\n4:20;1\n4:22;\xfe\n", (2, 1, 1, 0, 1)),
+    ("readings.csv", "SAAT;RAF3\n4:20;1\n", None),
+    ("readings.csv", "TARIH SAAT;SAAT;RAF3\n", None),
 ]
 
 
