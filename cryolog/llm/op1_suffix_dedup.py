@@ -160,49 +160,65 @@ def _frontier(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-_FOUND = pa.schema([("gram", pa.int64()), ("_id", pa.int64()), ("_row", pa.int64()), ("at", pa.int32()), ("main", pa.bool_())])
+_FOUND = pa.schema([("gram", pa.int64()), ("main", pa.bool_())])
+_ANCHOR = pa.struct([("at", pa.int32()), ("gram", pa.int64()), ("main", pa.bool_())])
+_SCANNED = pa.schema([("doc_id", pa.int64()), ("_id", pa.int64()), ("_row", pa.int64()), ("n_bytes", pa.int64()), ("text", pa.binary()), ("sha256", pa.string()), ("anchors", pa.list_(_ANCHOR))])
 _USES = pa.schema([("_id", pa.int64()), ("_row", pa.int64()), ("at", pa.int32()), ("chunk", pa.int64()), ("context", pa.binary()), ("gram", pa.int64()), ("many", pa.bool_()), ("left", pa.binary()), ("right", pa.binary()), ("n", pa.int64())])
 _RANGES = pa.schema([("context", pa.binary()), ("ranges", pa.list_(pa.int32()))])
 _STRINGS = pa.schema([("string", pa.binary()), ("context", pa.binary()), ("left", pa.int32()), ("n", pa.int64())])
 
 
-def _anchors(keyed: DataFrame, length: int, gram: int, dense: int, often: Broadcast | None = None) -> DataFrame:
-    """The anchors of strings of ``dense`` bytes; main are those of strings of ``length`` bytes, which are among them.
-    With the bits of ``often``, those that can't be repeated are left out."""
+def _anchors(keyed: DataFrame, length: int, gram: int, dense: int) -> DataFrame:
+    """The anchors of strings of ``dense`` bytes; main are those of strings of ``length`` bytes, which are among them."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found, rows = [], []
-            for i, text in enumerate(common.as_bytes(b.column(2))):
-                where, h, main = anchors(text, length, gram, dense)
-                if often is not None:
-                    bit = _bit(h.view(np.uint64))
-                    known = (often.value[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1)) > 0
-                    where, h, main = where[known], h[known], main[known]
-                found.append((h, where, main))
-                rows.append(np.full(len(h), i))
-            if rows:
-                h, where, main = (np.concatenate(x) for x in zip(*found, strict=True))
-                at = pa.array(np.concatenate(rows).astype(np.int64))
-                yield common.batch(_FOUND, [h.astype(np.int64), b.column(0).take(at), b.column(1).take(at), where.astype(np.int32), main.astype(bool)])
+            found = [anchors(text, length, gram, dense) for text in common.as_bytes(b.column(0))]
+            if found:
+                yield common.batch(_FOUND, [np.concatenate([x[1] for x in found]).astype(np.int64), np.concatenate([x[2] for x in found]).astype(bool)])
 
-    return keyed.select("_id", "_row", "text").mapInArrow(scan, "gram long, _id long, _row long, at int, main boolean")
+    return keyed.select("text").mapInArrow(scan, "gram long, main boolean")
 
 
-def _bit(h: np.ndarray) -> np.ndarray:
-    return h & np.uint64(FILTER_BITS - 1)
+_SHIFTS = (0, 18, 37)
 
 
 def _filter(often: DataFrame) -> np.ndarray:
-    """A bitmap of FILTER_BITS bits that has the bit of every repeated gram: 16 MB, whatever the input.  Where it fills
-    up, it leaves less out, and the join behind it does the rest."""
-    low = F.col("gram").bitwiseAND(FILTER_BITS - 1)
-    words = often.groupBy(F.shiftright(low, 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(gram & 63 AS INT)))").alias("bits")).toArrow()
+    """A Bloom filter of the repeated grams of FILTER_BITS bits: 16 MB, whatever the input.  Where it fills up, it leaves less
+    out, and the join behind it does the rest."""
+    bits = F.array(*(F.shiftrightunsigned("gram", k).bitwiseAND(FILTER_BITS - 1) for k in _SHIFTS))
+    words = often.select(F.explode(bits).alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(bit & 63 AS INT)))").alias("bits")).toArrow()
     out = np.zeros(FILTER_BITS >> 6, np.uint64)
     out[words.column(0).to_numpy()] = words.column(1).to_numpy().view(np.uint64)
     return out
 
 
+def _may_be_in(bloom: np.ndarray, h: np.ndarray) -> np.ndarray:
+    found = np.ones(len(h), bool)
+    for k in _SHIFTS:
+        bit = h.view(np.uint64) >> np.uint64(k) & np.uint64(FILTER_BITS - 1)
+        found &= (bloom[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1)) > 0
+    return found
+
+
+def _scanned(docs: DataFrame, length: int, gram: int, dense: int, often: Broadcast) -> DataFrame:
+    """Every row of ``docs`` with the anchors that may be repeated and, if it has any, its text; else with its digest."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for i, key, row, text in zip(*(c.to_pylist() for c in b.columns[:3]), common.as_bytes(b.column(3)), strict=True):
+                where, h, main = anchors(text, length, gram, dense)
+                at = np.flatnonzero(_may_be_in(often.value, h))
+                found = [{"at": int(where[k]), "gram": int(h[k]), "main": bool(main[k])} for k in at]
+                rows.append((i, key, row, len(text), *((text, None) if found else (None, hashlib.sha256(text).hexdigest())), found))
+            if rows:
+                yield common.batch(_SCANNED, zip(*rows, strict=True))
+
+    kept = docs.select("doc_id", *common.row_key(), "text").mapInArrow(scan, "doc_id long, _id long, _row long, n_bytes long, text binary, sha256 string, anchors array<struct<at:int,gram:long,main:boolean>>")
+    return common.stored(kept, "scanned")
+
+
 def _sides(text: bytes, at: int, length: int, gram: int) -> tuple[bytes, bytes]:
     return text[max(0, at - length + gram) : at][::-1], text[at : at + length]
 
@@ -322,33 +338,35 @@ def _counted_ranges(contexts: DataFrame, length: int, gram: int) -> DataFrame:
     return _counted(contexts, length, gram).groupBy("context").agg(F.flatten(pairs).alias("ranges"))
 
 
-def _contexts(docs: DataFrame, length: int, gram: int, dense: int) -> DataFrame:
-    """The stored uses of all repeated anchors, see ``_uses``."""
-    keyed = docs.select(*common.row_key(), "text")
-    counted = _anchors(keyed, length, gram, dense).groupBy("gram").agg(F.count("*").alias("count"), F.count_if("main").alias("mains"))
+def _contexts(docs: DataFrame, length: int, gram: int, dense: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``docs``, see ``_scanned``, and the uses of all repeated anchors, see ``_uses``; both stored."""
+    counted = _anchors(docs, length, gram, dense).groupBy("gram").agg(F.count("*").alias("count"), F.count_if("main").alias("mains"))
     often = common.stored(counted.where("count > 1"), "often")
-    found = _anchors(keyed, length, gram, dense, docs.sparkSession.sparkContext.broadcast(_filter(often)))
+    scanned = _scanned(docs, length, gram, dense, docs.sparkSession.sparkContext.broadcast(_filter(often)))
     most = max(MOST, (often.agg(F.sum("count")).first()[0] or 0) // MOST_GRAMS)
     salts = F.ceil(F.col("count") / most)
     many = often.where(F.col("count") > most).select("gram", salts.alias("salts"))  # fewer than MOST_GRAMS
     salt = F.coalesce(F.pmod(F.xxhash64("_row", "at"), "salts"), F.lit(0).cast("long")).alias("salt")
+    found = scanned.where("text IS NOT NULL").select("_id", "_row", F.inline("anchors"))
     places = found.join(F.broadcast(many), "gram", "left").select("gram", "_id", "_row", "at", "main", salt)
     kept = often.select("gram", (F.col("mains") > 1).alias("compared"), (F.col("mains") > most).alias("many"), F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"))
     mark = F.struct("at", "gram", (F.col("main") & F.col("compared")).alias("main"), "many")
     marks = places.join(kept, ["gram", "salt"]).groupBy("_id", "_row").agg(F.collect_set(mark).alias("marks"))
-    return common.stored(_uses(keyed.join(marks, ["_id", "_row"]), length, gram), "uses")
+    texts = scanned.where("text IS NOT NULL").select("_id", "_row", "text")
+    return scanned, common.stored(_uses(texts.join(marks, ["_id", "_row"]), length, gram), "uses")
 
 
-def _pieces(docs: DataFrame, length: int, gram: int, dense: int) -> DataFrame:
-    """_id, _row, pieces (repeated ranges around anchors) and n_anchors (repeated ones) of the rows that have any."""
-    uses = _contexts(docs, length, gram, dense)
+def _pieces(docs: DataFrame, length: int, gram: int, dense: int) -> tuple[DataFrame, DataFrame]:
+    """The scanned rows, and _id, _row, pieces (repeated ranges around anchors) and n_anchors (repeated ones) of those that
+    have any."""
+    scanned, uses = _contexts(docs, length, gram, dense)
     first = uses.where("context IS NOT NULL AND n IS NOT NULL")
     ranges = common.stored(_ranges(first.where("NOT many"), length).unionByName(_counted_ranges(first.where("many"), length, gram)), "ranges")
     # a context in very many texts meets its ranges once in a chunk, and the chunk's other texts there
     led = first.select("context", "chunk").join(ranges, "context")
     pieces = uses.join(led, ["context", "chunk"]).select("_id", "_row", F.struct("at", "ranges").alias("piece"), F.lit(None).cast("long").alias("n"))
     whole = uses.where("context IS NULL").select("_id", "_row", F.lit(None).cast(pieces.schema["piece"].dataType).alias("piece"), "n")
-    return pieces.unionByName(whole).groupBy("_id", "_row").agg(F.collect_set("piece").alias("pieces"), F.max("n").alias("n_anchors"))
+    return scanned, pieces.unionByName(whole).groupBy("_id", "_row").agg(F.collect_set("piece").alias("pieces"), F.max("n").alias("n_anchors"))
 
 
 def repeat_groups(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -360,7 +378,7 @@ def repeat_groups(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
     they are the repeated strings of just ``length`` bytes.
     """
     common.small_batches(docs.sparkSession)
-    uses = _contexts(docs, length, gram, length)
+    _, uses = _contexts(docs, length, gram, length)
     schema = pa.schema([("repeat", pa.int64()), ("left", pa.int32()), ("right", pa.int32()), ("context", pa.binary())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -416,8 +434,12 @@ def report(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, passage: int
             if rows:
                 yield common.batch(_REPORT, zip(*rows, strict=True))
 
-    whole = docs.select("doc_id", *common.row_key(), "text").join(_pieces(docs, length, gram, min(length, passage)), ["_id", "_row"], "left")
-    return whole.select("doc_id", "text", "pieces", "n_anchors").mapInArrow(scan, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_shared_anchors long")
+    scanned, pieces = _pieces(docs, length, gram, min(length, passage))
+    texts = scanned.where("text IS NOT NULL").select("doc_id", "_id", "_row", "text").join(pieces, ["_id", "_row"], "left")
+    judged = texts.select("doc_id", "text", "pieces", "n_anchors").mapInArrow(scan, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_shared_anchors long")
+    none = F.lit(0).cast("long")
+    whole = scanned.where("text IS NULL").select("doc_id", "n_bytes", none.alias("n_removed"), none.alias("n_spans"), F.col("sha256").alias("kept_sha256"), none.alias("n_shared_anchors"))
+    return judged.unionByName(whole)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -426,7 +448,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     Columns other than text are kept as they are, but for n_chars, which follows the text where there is one.
     """
     common.small_batches(docs.sparkSession)
-    spans = _pieces(docs, length, gram, length).where("size(pieces) > 0")
+    spans = _pieces(docs, length, gram, length)[1].where("size(pieces) > 0")
     whole = common.keyed(docs).join(spans, ["_id", "_row"], "left")
     names = docs.columns
     at, counted = names.index("text"), names.index("n_chars") if "n_chars" in names else None
