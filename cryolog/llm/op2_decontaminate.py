@@ -2,8 +2,8 @@
 
 Words are runs of ASCII letters and digits (lower-cased) and of all characters beyond ASCII.  A window is ``n``
 consecutive words of an item; an item of fewer words, but not none, is one window.  The windows are broadcast only in
-blocks of a fixed number of benchmark bytes: a benchmark beyond one block is scanned block by block and what the blocks
-found in a document is put together.
+blocks of BLOCK_WINDOWS of them, some 100 MB in memory, whatever the benchmark: a longer one is scanned block by block
+and what the blocks found in a document is put together.
 
 Null or empty texts have no words and no hits.  A null item id takes part under the empty string.  Repeated rows are
 judged one by one; other columns are ignored by the report and kept by the filters.
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-N, BLOCK_BYTES = 13, 32 << 20
+N, BLOCK_WINDOWS = 13, 400_000
 _FOLD = bytes((b | 32 if 65 <= b <= 90 else b) if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 _WORDS = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
@@ -37,13 +37,13 @@ def words_of(text: bytes) -> list[bytes]:
 class Windows:
     """The windows of a block of benchmark items, by length."""
 
-    def __init__(self, items: list[tuple[str, bytes]], n: int):
+    def __init__(self, items: list[tuple[str, list[bytes]]], n: int):
         self.ids: dict[bytes, int] = {}
         found: dict[int, dict[bytes, set[str]]] = defaultdict(lambda: defaultdict(set))
-        for item, text in items:
-            ids = np.array([self.ids.setdefault(w, len(self.ids) + 1) for w in words_of(text)], "<u4").tobytes()
-            size = min(n, len(ids) // 4)
-            for i in range(len(ids) // 4 - size + 1 if size else 0):
+        for item, words in items:
+            ids = np.array([self.ids.setdefault(w, len(self.ids) + 1) for w in words], "<u4").tobytes()
+            size = min(n, len(words))
+            for i in range(len(words) - size + 1 if size else 0):
                 found[size][ids[4 * i : 4 * (i + size)]].add(item)
         self.by_size = {size: {k: tuple(v) for k, v in windows.items()} for size, windows in found.items()}
 
@@ -60,15 +60,19 @@ class Windows:
 
 
 def _blocks(benchmark: DataFrame, n: int) -> Iterator[Windows]:
-    """At most BLOCK_BYTES of the benchmark in the driver at a time."""
+    """BLOCK_WINDOWS windows of the benchmark in the driver at a time; a very long item is cut into overlapping parts."""
     items, size = [], 0
     rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text"))
     for r in rows.toLocalIterator():
-        items.append((r.item, bytes(r.text)))
-        size += len(r.text) + 64
-        if size >= BLOCK_BYTES:
-            yield Windows(items, n)
-            items, size = [], 0
+        words, at = words_of(bytes(r.text)), 0
+        while at == 0 or at + n <= len(words):
+            part = words[at : at + BLOCK_WINDOWS - size + n - 1]
+            items.append((r.item, part))
+            size += max(1, len(part) - n + 1)
+            at += max(1, len(part) - n + 1)
+            if size >= BLOCK_WINDOWS:
+                yield Windows(items, n)
+                items, size = [], 0
     yield Windows(items, n)
 
 

@@ -196,7 +196,7 @@ def _ties(lists: DataFrame, percent: int) -> DataFrame:
     return ordered.mapInArrow(scan, "a long, b long").distinct()
 
 
-_SETS = pa.schema([("_id", pa.int64()), ("_row", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.int64()), ("sigs", pa.list_(pa.int64())), ("sketch", pa.binary())])
+_SETS = pa.schema([("doc_id", pa.int64()), ("_id", pa.int64()), ("_row", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.int64()), ("sigs", pa.list_(pa.int64())), ("sketch", pa.binary())])
 
 
 def _sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -206,7 +206,7 @@ def _sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
         rule, seen = Rule(percent), set()
         for b in batches:
             sizes, classes, sigs, sketches = [], [], [], []
-            for text in common.as_bytes(b.column(2)):
+            for text in common.as_bytes(b.column(3)):
                 s = shingle_set(text, k)
                 c = class_of(s) if len(s) else None
                 sizes.append(len(s))
@@ -215,9 +215,9 @@ def _sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 sigs.append(rule.signatures(s).view(np.int64) if new else None)
                 sketches.append(sketch(s) if new else None)
                 seen.add(c)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(sigs, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], schema=_SETS)
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(sigs, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], schema=_SETS)
 
-    return docs.select(*common.row_key(), "text").mapInArrow(scan, "_id long, _row long, n_shingles long, cls long, sigs array<long>, sketch binary")
+    return docs.select("doc_id", *common.row_key(), "text").mapInArrow(scan, "doc_id long, _id long, _row long, n_shingles long, cls long, sigs array<long>, sketch binary")
 
 
 class _Union:
@@ -321,12 +321,11 @@ def link_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     texts = docs.select(*common.row_key(), "text").join(wanted, ["_id", "_row"])
     roots = common.stored(_verified(texts, k, percent), "links")
 
-    smallest = sets.where("cls IS NOT NULL").groupBy("cls").agg(F.min(F.when(F.col("_id") > -(2**63), F.col("_id"))).alias("id"))
+    smallest = sets.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("id"))
     of_class = smallest.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     ids = of_class.groupBy("root").agg(F.min("id").alias("component_id"))
     merged = of_class.join(ids, "root").select("cls", "root", "component_id")
-    own = F.when(F.col("_id") > -(2**63), F.col("_id"))
-    return sets.join(merged, "cls", "left").select("_id", "_row", own.alias("doc_id"), "n_shingles", F.coalesce("component_id", own).alias("component_id"), "root")
+    return sets.join(merged, "cls", "left").select("_id", "_row", "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "root")
 
 
 def drop_near_copies(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:

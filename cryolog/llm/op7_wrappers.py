@@ -329,7 +329,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
 
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every row of ``pages`` (page_id, url, html)."""
-    common.small_batches(pages.sparkSession, 200)
+    common.small_batches(pages.sparkSession)
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1)), F.lit(""))
     named = pages.select("page_id", "url", "html", host.alias("host"))
     rules_of = pa.schema([("host", pa.string()), ("rules", pa.string())])

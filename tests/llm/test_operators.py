@@ -136,7 +136,7 @@ def test_decontamination(spark, docs, empty):
 def test_decontamination_in_blocks(spark, docs, monkeypatch):
     bench = spark.createDataFrame([(i, " ".join((texts()[0] or "").split()[i : i + 20])) for i in range(30)], "item_id long, text string")
     whole = sorted(op2_decontaminate.hits(docs, bench).collect())
-    monkeypatch.setattr(op2_decontaminate, "BLOCK_BYTES", 400)
+    monkeypatch.setattr(op2_decontaminate, "BLOCK_WINDOWS", 50)
     assert sorted(op2_decontaminate.hits(docs, bench).collect()) == whole
 
 
@@ -148,8 +148,8 @@ def test_filters_in_blocks(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string, _row string, _doc string, spans array<int>")
     bench = spark.createDataFrame(items, "item_id string, text string").coalesce(1)
     cut = " ".join(w for i, w in enumerate(words) if not any(a <= i < b for a, b in ((10, 29), (200, 213), (300, 313))))
-    for size in (op2_decontaminate.BLOCK_BYTES, 100):
-        monkeypatch.setattr(op2_decontaminate, "BLOCK_BYTES", size)
+    for size in (op2_decontaminate.BLOCK_WINDOWS, 2):
+        monkeypatch.setattr(op2_decontaminate, "BLOCK_WINDOWS", size)
         left = op2_decontaminate.drop_contaminated(docs, bench)
         assert left.schema == docs.schema and sorted(map(tuple, left.collect()), key=str) == sorted(rows[1:], key=str)
         got = op2_decontaminate.remove_spans(docs, bench).collect()
@@ -277,6 +277,12 @@ def test_near_copies_of_null_and_shared_ids(spark):
     assert len(of(prose["f"], prose["f"] + " more")) == 1 and of(prose["g"]) == [(6, prose["g"])] and len(kept) == 10
 
 
+def test_least_id_is_an_id_of_its_own(spark):
+    rows = [(None, "one two three four"), (-(2**63), "one two three four"), (-(2**63), "five six seven"), (None, None), (None, "")]
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in op5_jaccard.link_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()), key=str)
+    assert got == sorted([(None, 2, -(2**63)), (-(2**63), 2, -(2**63)), (-(2**63), 1, -(2**63)), (None, 0, None), (None, 0, None)], key=str)
+
+
 def test_shards_round_trip(docs, empty):
     coder = op6_sstable.encoder(vocabulary("byte_bpe_50k.json"), True)
     manifest = op6_sstable.write_shards(docs, vocabulary("byte_bpe_50k.json"), 2)
@@ -393,6 +399,48 @@ def test_licences(spark):
     assert out == {1: ("MIT", "own"), 2: ("Apache-2.0", "inherited"), 3: ("Apache-2.0", "own"), 4: (None, "none"), 5: (None, "none")}
 
 
+def test_licences_against_plain_cosines(spark):
+    templates = [(k, t) for k, ts in op8_licences.TEMPLATES.items() for t in ts]
+    words = lambda t: [w for w in re.split(r"[^a-z0-9.]+|\.(?=[^0-9]|$)", t.lower()) if w]
+    lines = [t for _, t in templates] + ["Released under the terms of the MIT License, see below", "Redistribution of water is permitted", "All rights reserved by the author of this program", "Permission to leave", "licensed", "free software"]
+    files = [(i, f"/p{i % 3}/q{i % 2}/{'LICENSE.txt' if i == 7 else i}", "\n".join(["first", "second", lines[i % len(lines)], "", "more words", lines[i * 7 % len(lines)]]), "x", 1.0) for i in range(60)]
+    files += [(100, "/p1/q0/z/deep", None, "x", 1.0), (101, None, "", "x", 1.0), (102, "/p9/none", "no word of it", "x", 1.0), (0, *files[0][1:]), (103, "/l/COPYING", "\n".join(["a", "b", "c", "d", lines[0]]), "x", 1.0), (104, "/l/m/n", "z", "x", 1.0)]
+    candidates = {x for f in files for x in (f[2] or "").split("\n") if any(re.search(rf"\b{w}", x.lower()) for _, t in templates for w in re.findall("[a-z]{6,}", t.lower()))}
+    df = Counter(w for x in candidates for w in set(words(x)))
+    idf = lambda w: max(np.log((len(candidates) + 1) / (df[w] + 0.5)), 0.05)
+    vector = lambda t: {w: n * idf(w) for w, n in Counter(words(t)).items()}
+    norm = lambda v: np.sqrt(sum(x * x for x in v.values()))
+
+    def best(line: str) -> tuple | None:
+        v, found = vector(line), []
+        for name, t in templates:
+            u = vector(t)
+            cosine = round(sum(x * u.get(w, 0) for w, x in v.items()) / (norm(u) * norm(v)), 6)
+            if cosine >= 0.5:
+                found.append((-cosine, name))
+        return min(found, default=None)
+
+    of_line = {x: best(x) for x in candidates}
+    own, speaks = {}, {}
+    for k, (_, path, text, *_) in enumerate(files):
+        at = [(i, of_line[x.strip()]) for i, x in enumerate(x for x in (text or "").split("\n") if x.strip()) if of_line.get(x.strip())]
+        own[k] = min((m for _, m in at), default=None)
+        for i, m in at:
+            if i < 3 or re.search(r"(?i)(^|/)(license|copying)", path.rsplit("/", 1)[1]):
+                d = path.rsplit("/", 1)[0]
+                speaks[d] = min(speaks.get(d, (9,)), (*m, path))
+    want = []
+    for k, (i, path, *_) in enumerate(files):
+        d, near = (path or "/").rsplit("/", 1)[0], None
+        steps = d.split("/")
+        for n in range(len(steps), 0, -1):
+            near = near or ("/".join(steps[:n]), speaks["/".join(steps[:n])]) if "/".join(steps[:n]) in speaks else near
+        want.append((i, own[k][1] if own[k] else near[1][1] if near else None, "own" if own[k] else "inherited" if near else "none", None if own[k] or not near else near[0]))
+    got = op8_licences.scan(spark.createDataFrame(files, "doc_id long, path string, text string, licence string, cosine double"))
+    assert sorted(((r.doc_id, r.licence, r.origin, r.from_dir) for r in got.collect()), key=str) == sorted(want, key=str)
+    assert {x[2] for x in want} == {"own", "inherited", "none"} and op8_licences.scan(got.select("doc_id", "path", "licence", common.F.lit("").alias("text")).limit(0)).count() == 0
+
+
 def test_licences_in_long_lines(spark):
     filler = lambda n, end: "".join(f"word{i} goes on{end} " for i in range(n))
     mit, gpl = op8_licences.TEMPLATES["MIT"][1], op8_licences.TEMPLATES["GPL-3.0"][1]
