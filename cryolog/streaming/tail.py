@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import ingest
+from ..operators import ingest, views
 from ..sources import batches, logfiles
 
 
@@ -76,26 +76,26 @@ def append_stream(spark: SparkSession, source: str, store: str, rejects: str, ch
     """Samples of JSON batches that land in ``source``, appended to ``store`` once for each (run, sequence).
 
     No watermark: late samples are kept.  Refused batches go to ``rejects``.  ``analyse`` gets all samples of the runs that
-    a step touched.
+    a step touched.  The store is a folder for each run, and a step reads those of its own runs only.
     """
     shape = batches.samples(spark.createDataFrame([], batches.SCHEMA)).select("run_id", "seq", "ms", "batch_id", "batch_pos", "measurements")
-    shape.limit(0).write.mode("append").parquet(store)
+    shape.limit(0).write.mode("append").partitionBy("run_id").parquet(store)
 
     def step(arrived: DataFrame, _: int) -> None:
         rows = batches.samples(arrived).cache()
-        stored = spark.read.schema(shape.schema).parquet(store)
         batches.violations(rows).write.mode("append").parquet(rejects)
         good = batches.accepted(rows)
-        touched = good.select("run_id").distinct()
-        known = stored.join(touched, "run_id", "left_semi")
+        runs = [r.run_id for r in good.select("run_id").distinct().collect()]  # of one step
+        of_runs = lambda: spark.read.schema(shape.schema).parquet(store).where(F.col("run_id").isin(runs))
+        known = of_runs()
         # a batch that is stored came through a step that runs again; its unnumbered samples must not be numbered anew
         good = good.join(known.select("run_id", "batch_id").distinct(), ["run_id", "batch_id"], "left_anti")
         good = batches.numbered(good, ingest.bounds(known))
         order = F.struct("batch_id", "batch_pos")
         new = ingest.new_samples(good.withColumn("_pos", F.col("batch_pos")).withColumn("batch_pos", order), known).withColumn("batch_pos", F.col("_pos"))
-        new.select(*shape.columns).write.mode("append").parquet(store)
+        new.select(*shape.columns).write.mode("append").partitionBy("run_id").parquet(store)
         if analyse is not None:
-            analyse(spark.read.schema(shape.schema).parquet(store).join(touched, "run_id", "left_semi"))
+            analyse(of_runs())
         rows.unpersist()
 
     stream = spark.readStream.schema(batches.SCHEMA).json(source)
@@ -105,3 +105,11 @@ def append_stream(spark: SparkSession, source: str, store: str, rejects: str, ch
 def missing_analyses(samples: DataFrame, analysed: DataFrame) -> DataFrame:
     """Samples of the runs that have no stored analysis (run_id) yet."""
     return samples.join(analysed.select("run_id").distinct(), "run_id", "left_anti")
+
+
+def rejected_rows(rows: DataFrame, stored: DataFrame) -> DataFrame:
+    """Events of the rows (of ``advance``) that were refused or warned of, under their folder as run_id and the row number in the
+    file, without those that are ``stored`` (run_id, event_type, metadata_json) already."""
+    named = F.expr("left(path, length(path) - length(element_at(split(path, '/'), -1)) - 1)")
+    found = logfiles.row_events(rows).select(named.alias("run_id"), "path", "row_number", "event_type", "severity", F.to_json(F.struct(F.col("path").alias("file"), F.col("metadata_json").alias("details"))).alias("metadata_json"))
+    return views.new_events(found, stored)

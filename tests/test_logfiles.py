@@ -126,3 +126,23 @@ def test_violations(spark):
     df = batches.samples(spark.createDataFrame([json.dumps(r) for r in rows], "string").select(F.from_json("value", batches.SCHEMA).alias("b")).select("b.*"))
     assert sorted(r.reason for r in batches.violations(df).collect()) == ["channel without name", "no measurement", "sequence not positive"]
     assert batches.accepted(df).count() == 0
+
+
+def test_rejected_rows_are_stored_once(spark):
+    rows = logfiles.log_rows(parsed(spark, "LogFile_2025_03_01.csv", "SAAT;KOND;RAF2\n7:15;1;2\n7:16;1\nnoon;1;2\n7:18;1;2;x\n"))
+    found = tail.rejected_rows(rows, spark.createDataFrame([], "run_id string, event_type string, metadata_json string"))
+    assert sorted((r.run_id, r.row_number, r.event_type) for r in found.collect()) == [("d", 3, "csv_row_shape_warning"), ("d", 4, "csv_row_timestamp_error"), ("d", 5, "csv_row_shape_error")]
+    assert tail.rejected_rows(rows, found).count() == 0 and tail.rejected_rows(rows, found.where("row_number = 4")).count() == 2
+
+
+def test_source_text_of_times(spark):
+    timed = logfiles.log_rows(parsed(spark, "LogFile_2025_03_01.csv", "SAAT;RAF2\n7:15;1\n07:16:02.25;1\n"))
+    full = logfiles.log_rows(parsed(spark, "x.csv", "RAF2;TARIH SAAT\n1;1.3.2025 7:15\n"))
+    assert [r.source_timestamp_text for r in timed.orderBy("row_number").collect()] == ["2025-03-01-07:15:00.000", "2025-03-01-07:16:02.250"]
+    assert full.first().source_timestamp_text == "1.3.2025 7:15"
+
+
+def test_missing_analyses(spark):
+    samples = spark.createDataFrame([(1, 1), (1, 2), (2, 1), (3, 1)], "run_id long, seq long")
+    left = tail.missing_analyses(samples, spark.createDataFrame([(2,), (2,), (9,)], "run_id long"))
+    assert sorted(map(tuple, left.collect())) == [(1, 1), (1, 2), (3, 1)]
