@@ -23,6 +23,24 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).where("NOT _none").drop("_none")
 
 
+def write_import(tables: dict[str, DataFrame], ledger: DataFrame, folder: str) -> None:
+    """The tables of imported runs (channels, frames, cells, observations, events, …), each under its name in ``folder``, and then
+    the rows of ``ledger`` (run_id, sha256, …).  A run counts as imported from its ledger row on, so an import that broke off
+    is done again, and doing it again changes nothing."""
+    runs = ledger.select("run_id")
+    for name, rows in tables.items():
+        write_runs(rows, f"{folder}/{name}", touched=runs)
+    write_runs(ledger, f"{folder}/imports")
+
+
+def write_analysis(tables: dict[str, DataFrame], runs: DataFrame, profile: str, folder: str) -> None:
+    """Replaces what is stored of ``runs`` under this profile by ``tables`` (cycles, segments, events, derived values); other
+    profiles stay, and a run without rows in a table is emptied there."""
+    named = lambda df: df.withColumn("profile", F.lit(profile))
+    for name, rows in tables.items():
+        write_runs(named(rows), f"{folder}/{name}", ["run_id", "profile"], named(runs.select("run_id")))
+
+
 def export_lines(cells: DataFrame, channels: list[str]) -> DataFrame:
     """run_id, seq, line: the timestamp text and the raw text of each channel in the order given, empty where there is none."""
     wide = cells.groupBy("run_id", "seq", "source_timestamp_text").pivot("channel", channels).agg(F.first("raw_text"))

@@ -146,3 +146,16 @@ def test_missing_analyses(spark):
     samples = spark.createDataFrame([(1, 1), (1, 2), (2, 1), (3, 1)], "run_id long, seq long")
     left = tail.missing_analyses(samples, spark.createDataFrame([(2,), (2,), (9,)], "run_id long"))
     assert sorted(map(tuple, left.collect())) == [(1, 1), (1, 2), (3, 1)]
+
+
+def test_imports_and_analyses_are_replaced_as_a_whole(spark, tmp_path):
+    folder = str(tmp_path)
+    rows = lambda *r: spark.createDataFrame(list(r), "run_id long, name string")
+    stored = lambda name, *more: sorted(tuple(r) for r in sinks.read_runs(spark, f"{folder}/{name}").select("run_id", *more, "name").collect())
+    for cells in (rows((1, "x"), (2, "y")), rows((1, "x"), (2, "z"))):
+        sinks.write_import({"frames": rows((1, "a"), (2, "b")), "cells": cells, "events": rows()}, rows((1, "sha1"), (2, "sha2")), folder)
+    assert stored("cells") == [(1, "x"), (2, "z")] and stored("events") == [] and stored("imports") == [(1, "sha1"), (2, "sha2")]
+    sinks.write_analysis({"cycles": rows((1, "c"), (2, "d"))}, rows((1, ""), (2, "")), "p1", folder)
+    sinks.write_analysis({"cycles": rows((1, "e"))}, rows((1, ""), (2, "")), "p2", folder)
+    sinks.write_analysis({"cycles": rows((1, "f"))}, rows((1, ""), (2, "")), "p1", folder)
+    assert stored("cycles", "profile") == [(1, "p1", "f"), (1, "p2", "e")]
