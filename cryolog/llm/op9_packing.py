@@ -46,13 +46,24 @@ class Index:
         order = np.argsort(flat, kind="stable")
         self.owner, self.gain = owner[order], gain[order]
         self.starts = np.searchsorted(flat[order], np.arange(len(idf) + 1))
+        # a term of an eighth of the documents or more is a row over all of them: eight times the postings at most
+        often = np.flatnonzero(np.diff(self.starts) * 8 >= len(docs))
+        self.row = np.full(len(idf), -1)
+        self.row[often] = np.arange(len(often))
+        self.rows = np.zeros((len(often), len(docs)), np.float32)
+        for r, t in zip(self.rows, often.tolist(), strict=True):
+            r[self.owner[self.starts[t] : self.starts[t + 1]]] = self.gain[self.starts[t] : self.starts[t + 1]]
         self.unused = np.ones(len(docs), np.float32)
 
     def neighbours(self, seed: int, most: int = 64) -> list[int]:
         """The best unused documents that share a term with ``seed``, best first and ties in order; ask again for more."""
         scores = np.zeros(len(self.unused), np.float32)
-        for t in self.terms[seed]:
-            a, b = self.starts[t], self.starts[t + 1]
+        terms = self.terms[seed]
+        rows = self.row[terms]
+        for r in rows[rows >= 0].tolist():
+            scores += self.rows[r]
+        rare = terms[rows < 0]
+        for a, b in zip(self.starts[rare].tolist(), self.starts[rare + 1].tolist(), strict=True):
             scores[self.owner[a:b]] += self.gain[a:b]
         scores *= self.unused
         if len(scores) > most:
