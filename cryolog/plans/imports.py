@@ -166,6 +166,13 @@ def d7_append_report(spark, d):
     return batches.report(rows, ingest.new_samples(rows, frames(spark, d).where("seq % 3 = 0")))
 
 
+@query(f"""{_BATCH}, ok AS (SELECT *, 1704448800000 + k % 60 * 1000 AS t FROM s WHERE seq % 3 <> 0 AND (run_id, batch_id) NOT IN (SELECT (run_id, batch_id) FROM s WHERE k IN (3, 5, 7, 9))),
+  g AS (SELECT *, coalesce(lag(t) OVER (PARTITION BY run_id, batch_id ORDER BY seq), (SELECT max(x.t) FROM ok x WHERE x.run_id = ok.run_id AND x.batch_id < ok.batch_id)) AS b FROM ok)
+  SELECT run_id, batch_id, count(*) AS inserted, CAST(2 AS BIGINT) AS channels, count(*) FILTER (t < b OR t - b > 360000) AS warnings, count(*) FILTER (k % 2 = 1) AS errors FROM g GROUP BY ALL""")
+def d7_append_counts(spark, d):
+    return batches.append_counts(ingest.new_samples(batches.accepted(_samples(spark, d)), frames(spark, d).where("seq % 3 = 0")))
+
+
 @query(f"""{FRAMES}, e AS (SELECT run_id, seq AS event_id, k, CASE WHEN k % 3 = 0 THEN seq WHEN k % 3 = 1 THEN k WHEN k % 6 = 2 THEN k + 1 END AS source_row FROM frames),
   p AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY source_row NULLS FIRST, event_id) AS place, count(*) OVER (PARTITION BY run_id) AS n FROM e)
   SELECT run_id, event_id, source_row, CASE WHEN k % 2 = 0 THEN k + 0.5::DOUBLE ELSE CAST(k AS DOUBLE) END AS gap_seconds, CASE WHEN k % 4 = 0 THEN 'r' || k WHEN k % 4 = 1 THEN 'v' || k WHEN k % 4 = 2 THEN 'w' || k ELSE 'v' || k END AS suspect_text,

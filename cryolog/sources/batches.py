@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import parse
+from ..operators import ingest
 
 SCHEMA = (
     "run_id bigint, batch_id bigint, samples array<struct<sampled_at: string, source_timestamp_text: string, source_sequence: bigint, "
@@ -71,3 +72,12 @@ def report(rows: DataFrame, inserted: DataFrame) -> DataFrame:
     new = inserted.select("run_id", "batch_id", "batch_pos", F.lit(1).alias("new"))
     both = rows.select("run_id", "batch_id", "batch_pos", "ms").join(new, ["run_id", "batch_id", "batch_pos"], "left")
     return both.groupBy("run_id", "batch_id").agg(F.count("new").alias("inserted"), F.count_if(F.col("new").isNull()).alias("skipped"), F.max_by("ms", F.when(F.col("new") == 1, F.col("batch_pos"))).alias("latest_ms"))
+
+
+def append_counts(inserted: DataFrame) -> DataFrame:
+    """Of each batch's inserted samples: how many, their channels, warnings (gaps and backward times) and errors (invalid cells)."""
+    key = ["run_id", "batch_id"]
+    seen = cells(inserted).groupBy(*key).agg(F.count_distinct("channel").alias("channels"), F.count_if(F.col("quality") == "invalid").alias("errors"))
+    told = ingest.append_gap_events(inserted).groupBy(*key).agg(F.count("*").alias("warnings"))
+    out = inserted.groupBy(*key).agg(F.count("*").alias("inserted")).join(seen, key, "left").join(told, key, "left")
+    return out.select(*key, "inserted", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("channels", "warnings", "errors")))
