@@ -34,7 +34,7 @@ from . import common
 from .op5_jaccard import mixed
 
 LENGTH, GRAM, PASSAGE = 400, 200, 280
-MOST, MOST_GRAMS, CHUNK, FILTER_BITS = 2000, 1 << 20, 2000, 1 << 27
+MOST, MOST_GRAMS, CHUNK, FILTER_BITS = 50_000, 1 << 20, 2000, 1 << 27
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
