@@ -84,6 +84,12 @@ def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.compare_edited(read(spark, sf_dir, "documents"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import op13_alignment as op
+
+    return op.report(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: f for k, f in globals().items() if k.startswith("op") and k[2:3].isdigit() and callable(f)}
     return found

@@ -40,16 +40,16 @@ class _Pieces(dict):
 
     def __init__(self, merge):
         super().__init__()
-        self.merge, self.left_out = merge, 0
+        self.merge, self.left_out, self.entries = merge, 0, _ENTRIES
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.merge(piece)
-        if len(self) < _ENTRIES:
+        if len(self) < self.entries:
             if len(piece) <= _LONGEST:
                 self[piece] = ids
         else:
             self.left_out += 1
-            if self.left_out > 10 * _ENTRIES:
+            if self.left_out > 10 * self.entries:
                 self.clear()
                 self.left_out = 0
         return ids
@@ -69,6 +69,7 @@ class TextEncoder:
         self.model, self.spaces = self.tokenizer.model, spaces
         self.cut = (_WITH_SPACE if spaces else _WITHOUT_SPACE).findall
         self.pieces = _Pieces(self._merged)
+        self.plain = False  # whether special tokens' strings are plain text, also for the library's tokenizer
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -79,7 +80,7 @@ class TextEncoder:
         return _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:
-        if "<|" in text or not _ORDINARY.fullmatch(text):
+        if "<|" in text and not self.plain or not _ORDINARY.fullmatch(text):
             return self.whole(text)
         return b"".join(map(self.pieces.__getitem__, self.cut(text if self.spaces else text.lower())))
 
