@@ -78,6 +78,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.scores(docs, op.train(docs, read(spark, sf_dir, "labels")))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import op11_whitening as op
+
+    return op.report(read(spark, sf_dir, "embeddings"))
+
+
 def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import op12_fingerprints as op
 
