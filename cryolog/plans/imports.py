@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import ingest, quality
 from ..sources import batches, logfiles, sinks
-from ..streaming import tail
+from ..streaming import append, tail
 from .oracle import FRAMES
 from .telemetry import frames
 
@@ -173,6 +173,80 @@ def d7_append_counts(spark, d):
     return batches.append_counts(ingest.new_samples(batches.accepted(_samples(spark, d)), frames(spark, d).where("seq % 3 = 0")))
 
 
+def _appended(spark: SparkSession, d: str) -> append.Store:
+    """Batches of eight samples, two in five without sequences, appended in two steps; every run has a recipe, and some of its
+    states are none of the recipe's or come from before the segment that the run is in."""
+    k, seq = F.col("k"), F.col("seq")
+    at = F.lit(1704067200000) + seq * 60000 - F.when(k % 23 == 0, 200000).otherwise(0) + F.when(k % 19 == 0, 400000).otherwise(0)
+    moment = F.expr("date_format(TIMESTAMP_NTZ '1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, at / 1000), \"yyyy-MM-dd'T'HH:mm:ss.SSS\")")
+    code = F.when(k % 4 == 0, F.concat(F.lit("S"), F.floor(seq / 6) % 3)).when(k % 31 == 0, "T").when(k % 7 == 0, F.concat(F.lit("X"), k % 2))
+    cell = lambda c, number, raw, quality: F.struct(F.lit(c).alias("channel_code"), number.alias("numeric_value"), raw.alias("raw_text"), quality.alias("quality"))
+    none, text = F.lit(None).cast("double"), F.lit(None).cast("string")
+    cells = F.array(cell("RAF1", k.cast("double"), text, F.when(k % 11 == 0, "suspect")), cell("VACUM", none, F.when(k % 13 == 0, "x").otherwise(k.cast("string")), text))
+    rows = frames(spark, d).withColumns({"at": at, "batch_id": F.floor((seq - 1) / 8)})
+    state = F.when(code.isNotNull(), F.struct(code.alias("source_state_code")))
+    sample = F.struct(moment.alias("sampled_at"), F.when(F.col("batch_id") % 5 < 3, seq).alias("source_sequence"), state.alias("state_observation"), cells.alias("measurements"))
+    each = rows.groupBy("run_id", "batch_id").agg(F.array_sort(F.collect_list(F.struct("seq", F.to_json(sample).alias("s")))).alias("all"))
+    sent = each.select("run_id", "batch_id", F.from_json(F.concat(F.lit('{"samples":['), F.array_join("all.s", ","), F.lit("]}")), batches.SCHEMA)["samples"].alias("samples"))
+    runs = frames(spark, d).select("run_id").distinct()
+    known = append.Catalogue(
+        assignments=lambda: runs.select("run_id", (F.col("run_id") + 1000).alias("assignment_id"), F.lit(1).alias("version_id"), F.lit(0).alias("assigned_ms"), F.lit("primary").alias("role"), F.lit(True).alias("active")),
+        states=lambda: spark.createDataFrame([(1, 1, "S0", "X0", 0), (1, 2, "S1", None, 1), (1, 3, "S2", "S1", 2)], "version_id long, state_id long, code string, external_code string, sort_order int"),
+    )
+    store = append.Store(spark, append.scratch(spark, "append"))
+    for step in range(2):
+        append.run_step(store, sent.where("batch_id < 6" if step == 0 else "batch_id >= 6"), step, known)
+    return store
+
+
+# the same on frames, observation by observation; a refused batch leaves the segment that the run was in before it
+_APPENDED = f"""{FRAMES}, s AS (
+  SELECT run_id, seq, k, (seq - 1) // 8 AS batch_id, 1704067200000 + seq * 60000 - CASE WHEN k % 23 = 0 THEN 200000 ELSE 0 END + CASE WHEN k % 19 = 0 THEN 400000 ELSE 0 END AS ms,
+    CASE WHEN k % 4 = 0 THEN seq // 6 % 3 + 1 WHEN k % 31 = 0 THEN 0 WHEN k % 7 = 0 THEN CASE WHEN k % 2 = 0 THEN 1 ELSE 0 END END AS state FROM frames),
+  o AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY seq) AS n FROM s WHERE state > 0),
+  walk AS (
+    SELECT run_id, n, batch_id, state AS cur, ms AS started, 0 AS old_cur, -1::BIGINT AS old_started, -1::BIGINT AS refused FROM o WHERE n = 1
+    UNION ALL
+    SELECT run_id, n, batch_id, CASE WHEN again THEN cur WHEN bad THEN c0 ELSE state END, CASE WHEN again THEN started WHEN bad THEN b0 WHEN state = cur THEN started ELSE ms END, c0, b0, CASE WHEN bad THEN batch_id ELSE refused END FROM (
+      SELECT o.*, w.cur, w.started, w.refused, o.batch_id = w.refused AS again, o.batch_id <> w.refused AND o.ms < w.started AS bad,
+        CASE WHEN o.batch_id = w.batch_id THEN w.old_cur ELSE w.cur END AS c0, CASE WHEN o.batch_id = w.batch_id THEN w.old_started ELSE w.started END AS b0
+      FROM walk w JOIN o ON o.run_id = w.run_id AND o.n = w.n + 1)),
+  refused AS (SELECT DISTINCT run_id, refused AS batch_id FROM walk WHERE refused >= 0),
+  taken AS (SELECT s.* FROM s ANTI JOIN refused r ON s.run_id = r.run_id AND s.batch_id = r.batch_id),
+  tops AS (SELECT run_id, batch_id, max(ms) AS top FROM taken GROUP BY run_id, batch_id),
+  highs AS (SELECT run_id, batch_id, max(top) OVER (PARTITION BY run_id ORDER BY batch_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS high FROM tops),
+  timed AS (SELECT t.*, high, coalesce(lag(ms) OVER (PARTITION BY t.run_id, t.batch_id ORDER BY seq), high) AS before FROM taken t JOIN highs h ON t.run_id = h.run_id AND t.batch_id = h.batch_id)"""
+
+
+@query(f"""{_APPENDED} SELECT run_id, batch_id, 'state older than its segment' AS reason FROM refused""")
+def i6_refused_batches(spark, d):
+    return _appended(spark, d).read("refusals").select("run_id", "batch_id", "reason")
+
+
+@query(f"""{_APPENDED}, e AS (SELECT *, CASE WHEN ms < before THEN 'timestamp_out_of_order' WHEN ms - before > 360000 THEN 'time_gap' END AS event_type FROM timed
+    UNION ALL SELECT *, CASE WHEN state = 0 THEN 'state_unmapped' END FROM timed UNION ALL SELECT *, CASE WHEN k % 11 = 0 THEN 'suspect_value' END FROM timed UNION ALL SELECT *, CASE WHEN k % 13 = 0 THEN 'parse_error' END FROM timed)
+  SELECT run_id, batch_id, event_type, CASE WHEN event_type = 'parse_error' THEN 'error' ELSE 'warning' END AS severity, count(*) AS n,
+    sum(CASE WHEN event_type IN ('time_gap', 'timestamp_out_of_order') THEN ms - before END) / 1000.0::DOUBLE AS gap_seconds FROM e WHERE event_type IS NOT NULL GROUP BY ALL""")
+def i6_append_events(spark, d):
+    gap = quality.gap_seconds()
+    return _appended(spark, d).read("events").groupBy("run_id", "batch_id", "event_type", "severity").agg(F.count("*").alias("n"), F.sum(gap).alias("gap_seconds"))
+
+
+@query(f"""{_APPENDED}, e AS (SELECT *, coalesce(lag(state) OVER (PARTITION BY run_id ORDER BY seq) <> state, true)::INT AS enters FROM taken WHERE state > 0),
+  g AS (SELECT *, sum(enters) OVER (PARTITION BY run_id ORDER BY seq) AS segment FROM e),
+  h AS (SELECT run_id, segment, any_value(state) AS state_id, arg_min(ms, seq) AS started_ms, arg_max(ms, seq) AS last_ms, count(*) AS n FROM g GROUP BY run_id, segment)
+  SELECT run_id, run_id + 1000 AS assignment_id, segment, state_id, started_ms, coalesce(lead(started_ms) OVER (PARTITION BY run_id ORDER BY segment), CASE WHEN n > 1 THEN last_ms END) AS finished_ms FROM h""")
+def i6_append_segments(spark, d):
+    return _appended(spark, d).segments()
+
+
+@query(f"""{_APPENDED} SELECT run_id, 'running' AS status, min(ms) AS started_ms, max(ms) AS finished_ms, count(*) AS rows, count(*) FILTER (ms < high) AS late FROM timed GROUP BY run_id""")
+def i6_append_runs(spark, d):
+    store = _appended(spark, d)
+    late = store.read("samples").groupBy("run_id").agg(F.count_if("late").alias("late"))
+    return store.runs().join(late, "run_id").select("run_id", "status", "started_ms", "finished_ms", "rows", "late")
+
+
 @query(f"""{FRAMES}, e AS (SELECT run_id, seq AS event_id, k, CASE WHEN k % 3 = 0 THEN seq WHEN k % 3 = 1 THEN k WHEN k % 6 = 2 THEN k + 1 END AS source_row FROM frames),
   p AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY source_row NULLS FIRST, event_id) AS place, count(*) OVER (PARTITION BY run_id) AS n FROM e)
   SELECT run_id, event_id, source_row, CASE WHEN k % 2 = 0 THEN k + 0.5::DOUBLE ELSE CAST(k AS DOUBLE) END AS gap_seconds, CASE WHEN k % 4 = 0 THEN 'r' || k WHEN k % 4 = 1 THEN 'v' || k WHEN k % 4 = 2 THEN 'w' || k ELSE 'v' || k END AS suspect_text,

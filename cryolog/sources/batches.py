@@ -20,17 +20,18 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def samples(batches: DataFrame) -> DataFrame:
-    """A row for each sample: run_id, batch_id, batch_pos, seq, ms, measurements, state_observation."""
+    """A row for each sample: run_id, batch_id, batch_pos, seq, ms, source_timestamp_text, measurements, state_observation."""
     out = batches.select("run_id", "batch_id", F.posexplode("samples").alias("batch_pos", "s"))
     ms = parse.epoch_ms(parse.batch_timestamp(F.col("s.sampled_at")))
-    return out.select("run_id", "batch_id", "batch_pos", F.col("s.source_sequence").alias("seq"), ms.alias("ms"), "s.measurements", "s.state_observation")
+    return out.select("run_id", "batch_id", "batch_pos", F.col("s.source_sequence").alias("seq"), ms.alias("ms"), F.coalesce("s.source_timestamp_text", "s.sampled_at").alias("source_timestamp_text"), "s.measurements", "s.state_observation")
 
 
 def _typed(m: Column) -> Column:
     value = F.coalesce(m["numeric_value"], parse.number(F.coalesce(m["raw_text"], m["value_text"])))
     return F.struct(
         parse.canonical_channel(m["channel_code"]).alias("channel"), F.coalesce(m["raw_text"], m["numeric_value"].cast("string"), m["value_text"]).alias("raw_text"),
-        value.alias("value"), F.coalesce(m["quality"], F.when(value.isNull(), "invalid").otherwise("good")).alias("quality"),
+        value.alias("value"), m["value_text"].alias("value_text"), F.coalesce(m["value_type"], F.when(value.isNull(), "text").otherwise("number")).alias("value_type"), m["quality_reason"].alias("quality_reason"),
+        F.coalesce(m["quality"], F.when(value.isNull(), "invalid").otherwise("good")).alias("quality"),
     )
 
 
@@ -46,6 +47,8 @@ def violations(rows: DataFrame, closed: DataFrame | None = None) -> DataFrame:
     reasons = {
         "sequence not positive": F.col("seq") <= 0, "time not readable": F.col("ms").isNull(), "no measurement": F.coalesce(F.size("measurements"), F.lit(0)) <= 0,
         "channel without name": F.exists(codes, lambda c: c == ""), "number not finite": F.exists("measurements", bad), "channel twice": F.size(F.array_distinct(codes)) < F.size(codes),
+        "state without code": F.col("state_observation").isNotNull() & (F.coalesce(F.trim("state_observation.source_state_code"), F.lit("")) == ""),
+        "measurement without value": F.exists("measurements", lambda m: F.coalesce(m["raw_text"], m["numeric_value"].cast("string"), m["value_text"]).isNull()),
         "quality not known": F.exists("measurements", lambda m: ~m["quality"].isin("good", "suspect", "invalid", "missing")),
     }
     found = F.filter(F.array(*(F.when(test, name) for name, test in reasons.items())), lambda x: x.isNotNull())

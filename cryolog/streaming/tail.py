@@ -1,18 +1,15 @@
-"""Growing folders, pushed byte ranges and streams of sample batches.
+"""Growing folders and pushed byte ranges.
 
 Each step can run again after a lost executor or driver: what is stored decides what is new.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import ingest, views
-from ..sources import batches, logfiles
+from ..operators import views
+from ..sources import logfiles
 
 
 def complete_prefix(files: DataFrame, by: str = "folder") -> DataFrame:
@@ -72,36 +69,6 @@ def fold_ranges(ranges: DataFrame) -> DataFrame:
     return found.select("source", "file", F.inline(F.arrays_zip("rows", F.col("folded.verdicts").alias("verdict")))).select("source", "file", "rows.*", "verdict")
 
 
-def append_stream(spark: SparkSession, source: str, store: str, rejects: str, checkpoint: str, analyse: Callable[[DataFrame], None] | None = None) -> StreamingQuery:
-    """Samples of JSON batches that land in ``source``, appended to ``store`` once for each (run, sequence).
-
-    No watermark: late samples are kept.  Refused batches go to ``rejects``.  ``analyse`` gets all samples of the runs that
-    a step touched.  The store is a folder for each run, and a step reads those of its own runs only.
-    """
-    shape = batches.samples(spark.createDataFrame([], batches.SCHEMA)).select("run_id", "seq", "ms", "batch_id", "batch_pos", "measurements")
-    shape.limit(0).write.mode("append").partitionBy("run_id").parquet(store)
-
-    def step(arrived: DataFrame, _: int) -> None:
-        rows = batches.samples(arrived).cache()
-        batches.violations(rows).write.mode("append").parquet(rejects)
-        good = batches.accepted(rows)
-        runs = [r.run_id for r in good.select("run_id").distinct().collect()]  # of one step
-        of_runs = lambda: spark.read.schema(shape.schema).parquet(store).where(F.col("run_id").isin(runs))
-        known = of_runs()
-        # a batch that is stored came through a step that runs again; its unnumbered samples must not be numbered anew
-        good = good.join(known.select("run_id", "batch_id").distinct(), ["run_id", "batch_id"], "left_anti")
-        good = batches.numbered(good, ingest.bounds(known))
-        order = F.struct("batch_id", "batch_pos")
-        new = ingest.new_samples(good.withColumn("_pos", F.col("batch_pos")).withColumn("batch_pos", order), known).withColumn("batch_pos", F.col("_pos"))
-        new.select(*shape.columns).write.mode("append").partitionBy("run_id").parquet(store)
-        if analyse is not None:
-            analyse(of_runs())
-        rows.unpersist()
-
-    stream = spark.readStream.schema(batches.SCHEMA).json(source)
-    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
 def missing_analyses(samples: DataFrame, analysed: DataFrame) -> DataFrame:
     """Samples of the runs that have no stored analysis (run_id) yet."""
     return samples.join(analysed.select("run_id").distinct(), "run_id", "left_anti")

@@ -92,22 +92,6 @@ def sample(minute, seq, *channels):
     return {"sampled_at": f"2026-08-14T10:{minute:02d}:00Z", "source_sequence": seq, "measurements": [{"channel_code": c, "numeric_value": 1.0} for c in channels]}
 
 
-def test_append_stream(spark, tmp_path):
-    for name in ("in", "store", "bad", "check"):
-        (tmp_path / name).mkdir()
-    put = lambda n, *s: (tmp_path / "in" / f"{n}.json").write_text(json.dumps({"run_id": 1, "batch_id": n, "samples": list(s)}))
-    analysed = []
-    go = lambda: tail.append_stream(spark, *(str(tmp_path / n) for n in ("in", "store", "bad", "check")), analyse=lambda df: analysed.append(df.count())).awaitTermination()
-    put(1, sample(0, 1, "RAF1", "VACUM"), sample(5, 2, "RAF1"))
-    go()
-    put(2, sample(5, 2, "RAF1"), sample(1, 3, "RAF1"), sample(9, None, "RAF1"))
-    put(3, sample(20, 9, "RAF1", "RAF 1"))
-    go()
-    stored = spark.read.parquet(str(tmp_path / "store"))
-    assert sorted(r.seq for r in stored.collect()) == [1, 2, 3] and analysed == [2, 3]
-    assert [r.reason for r in spark.read.parquet(str(tmp_path / "bad")).collect()] == ["channel twice"]
-
-
 def test_sinks(spark, tmp_path):
     path = str(tmp_path / "t")
     sinks.write_runs(spark.createDataFrame([(1, "a"), (2, "b")], "run_id long, state string"), path)
