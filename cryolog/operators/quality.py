@@ -12,15 +12,23 @@ def _number(text: Column, kind: str) -> Column:
     return F.when(text.rlike(r"^-?\d+(\.\d+)?$"), text).try_cast(kind)
 
 
+def source_row(row: Column | str) -> Column:
+    """The row number of an event: its own, else that of its metadata."""
+    return F.coalesce(row, _number(F.get_json_object(_JSON, "$.source_row_number"), "bigint"))
+
+
+def source_text() -> Column:
+    """The time text of a row as its event's metadata have it."""
+    return F.coalesce(F.get_json_object(_JSON, "$.source_timestamp_text"), F.get_json_object(_JSON, "$.details.source_timestamp_text"))
+
+
 def located(events: DataFrame) -> DataFrame:
-    """The row number of each event: its own, else that of the metadata, else that of the metadata's details."""
-    from_json = lambda path: _number(F.get_json_object(_JSON, path), "bigint")
-    return events.withColumn("source_row", F.coalesce("row_number", from_json("$.row_number"), from_json("$.details.row_number")))
+    return events.withColumn("source_row", source_row("row_number"))
 
 
 def gap_seconds() -> Column:
-    """From the metadata, else from the message."""
-    said = F.regexp_extract("message", r"(\d+(?:\.\d+)?)\s*(?:s|sec|seconds)\b", 1)
+    """From the metadata, else from the message of a gap."""
+    said = F.regexp_extract("message", r"time gap of (\d+(?:\.\d+)?) seconds", 1)
     return F.coalesce(_number(F.get_json_object(_JSON, "$.gap_seconds"), "double"), _number(said, "double"))
 
 
@@ -59,9 +67,15 @@ def cycle_hours(started: Column, finished: Column, now: Column) -> Column:
     return (F.coalesce(finished, now) - started) / 3_600_000.0
 
 
-def run_summary(frames: DataFrame, events: DataFrame, imports: DataFrame) -> DataFrame:
-    """Rows, warnings and errors of each run; counts of its import (run_id, rows, warnings, errors) come before live ones."""
+def run_summary(runs: DataFrame, frames: DataFrame, events: DataFrame, imports: DataFrame) -> DataFrame:
+    """Rows, warnings and errors of each of ``runs`` (run_id), also of those without frames; counts of its import (run_id, rows,
+    warnings, errors) come before live ones."""
     live = frames.groupBy("run_id").agg(F.count("*").alias("live_rows"))
     seen = events.groupBy("run_id").agg(F.count_if(F.col("severity") == "warning").alias("live_warnings"), F.count_if(F.col("severity") == "error").alias("live_errors"))
-    out = live.join(seen, "run_id", "left").join(imports.select("run_id", "rows", "warnings", "errors"), "run_id", "left")
+    out = runs.select("run_id").join(live, "run_id", "left").join(seen, "run_id", "left").join(imports.select("run_id", "rows", "warnings", "errors"), "run_id", "left")
     return out.select("run_id", *(F.coalesce(c, f"live_{c}", F.lit(0)).alias(c) for c in ("rows", "warnings", "errors")))
+
+
+def newest_runs(runs: DataFrame, limit: int = 100) -> DataFrame:
+    """The first of ``runs`` (run_id, started_ms, created_ms) by falling start, or creation where none has started, and id."""
+    return runs.withColumn("newest_ms", F.coalesce("started_ms", "created_ms")).orderBy(F.desc("newest_ms"), F.desc("run_id")).limit(limit)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.profile import CHANNELS, GROUPS, SHELF_AVERAGE, SHELVES, Profile
+from . import quality
 from .analysis import shelf_off
 from .series import gap_breaks
 
@@ -42,10 +43,9 @@ def placed_events(events: DataFrame, frames: DataFrame, channels: DataFrame) ->
     """``events`` (run_id, event_id, seq, channel_id, event_type, metadata_json) with time, source text, row number and channel
     code: of the frame, else as the metadata say.  Events without a frame or a channel stay."""
     f = frames.select(*KEY, "ms", F.col("source_timestamp_text").alias("_text"))
-    said = lambda path: F.get_json_object("metadata_json", path)
     joined = events.join(f, KEY, "left").join(channels.select("channel_id", F.col("code").alias("channel")), "channel_id", "left")
-    row = F.coalesce(F.when(F.col("ms").isNotNull(), F.col("seq")), said("$.source_row_number").try_cast("bigint"))
-    text = F.coalesce("_text", said("$.source_timestamp_text"), said("$.details.source_timestamp_text"))
+    row = quality.source_row(F.when(F.col("ms").isNotNull(), F.col("seq")))
+    text = F.coalesce("_text", quality.source_text())
     return joined.select("run_id", "event_id", "ms", text.alias("source_timestamp_text"), row.alias("source_row"), "channel", "event_type", "metadata_json")
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import ingest, quality
+from ..operators import ingest, quality, views
 from ..sources import batches, logfiles, sinks
 from ..streaming import append, tail
 from .oracle import FRAMES
@@ -254,9 +254,8 @@ def i6_append_runs(spark, d):
 def f10_first_events(spark, d):
     k = F.col("k")
     kinds = ["time_gap", "timestamp_out_of_order", "suspect_value", "numeric_parse_error", "csv_row_timestamp_error", "csv_file_header_error", "csv_row_shape_error", "note"]
-    nested = F.when(k % 6 == 2, F.struct((k + 1).alias("row_number")))
-    meta = F.to_json(F.struct(F.when(k % 3 == 1, k).alias("row_number"), nested.alias("details"), F.when(k % 2 == 0, k + F.lit(0.5).cast("double")).alias("gap_seconds"), F.when(k % 4 == 0, F.concat(F.lit("r"), k)).alias("raw_text"), F.when(k % 4 == 2, F.concat(F.lit("w"), k)).alias("raw_value")))
-    message = F.when(k % 2 == 0, "`gap`").otherwise(F.concat(F.lit("gap of "), k, F.lit(" s, value v"), k, F.lit(" seen")))
+    meta = F.to_json(F.struct(F.when(k % 3 != 0, F.when(k % 3 == 1, k).when(k % 6 == 2, k + 1)).alias("source_row_number"), F.when(k % 2 == 0, k + F.lit(0.5).cast("double")).alias("gap_seconds"), F.when(k % 4 == 0, F.concat(F.lit("r"), k)).alias("raw_text"), F.when(k % 4 == 2, F.concat(F.lit("w"), k)).alias("raw_value")))
+    message = F.when(k % 2 == 0, "`gap`").otherwise(F.concat(F.lit("5 s late: time gap of "), k, F.lit(" seconds, value v"), k, F.lit(" seen")))
     events = frames(spark, d).select("run_id", F.col("seq").alias("event_id"), F.get(F.array(*map(F.lit, kinds)), k % 8).alias("event_type"), message.alias("message"), meta.alias("metadata_json"), F.when(k % 3 == 0, F.col("seq")).alias("row_number"))
     return quality.first_of_run(quality.viewed(events), 12).select("run_id", "event_id", "source_row", "gap_seconds", "suspect_text", "event_class", "place", "hidden")
 
@@ -283,13 +282,39 @@ def c11_active_assignment(spark, d):
     return sinks.latest_assignment(rows).select("run_id", "assignment_id")
 
 
-@query(f"""{FRAMES} SELECT run_id, CASE WHEN run_id % 4 = 0 THEN run_id ELSE count(*) END AS rows, CASE WHEN run_id % 4 = 0 THEN 2 ELSE count(*) FILTER (k % 5 = 0) END AS warnings,
+_RUNS = f"{FRAMES}, runs AS (SELECT run_id, min(ms) FILTER (run_id % 3 <> 0) AS started_ms, max(ms) + 7 * run_id AS created_ms FROM frames GROUP BY run_id)"
+
+
+def _runs(spark: SparkSession, d: str) -> DataFrame:
+    """A run table; a third of the runs have not started and so have no frames."""
+    run = F.col("run_id")
+    return frames(spark, d).groupBy(run).agg(F.min(F.when(run % 3 != 0, F.col("ms"))).alias("started_ms"), (F.max("ms") + 7 * run).alias("created_ms"))
+
+
+@query(f"""{_RUNS} SELECT run_id, CASE WHEN run_id % 4 = 0 THEN run_id ELSE count(*) FILTER (run_id % 3 <> 0) END AS rows, CASE WHEN run_id % 4 = 0 THEN 2 ELSE count(*) FILTER (k % 5 = 0) END AS warnings,
   CASE WHEN run_id % 4 = 0 THEN 1 ELSE count(*) FILTER (k % 5 = 1) END AS errors FROM frames GROUP BY run_id""")
 def d3_run_summary(spark, d):
     f = frames(spark, d)
     events = f.where("k % 5 < 2").select("run_id", F.when(F.col("k") % 5 == 0, "warning").otherwise("error").alias("severity"))
     imports = f.where("run_id % 4 = 0").select("run_id").distinct().select("run_id", F.col("run_id").alias("rows"), F.lit(2).cast("long").alias("warnings"), F.lit(1).cast("long").alias("errors"))
-    return quality.run_summary(f, events, imports)
+    return quality.run_summary(_runs(spark, d), f.where("run_id % 3 <> 0"), events, imports)
+
+
+@query(f"""{_RUNS} SELECT run_id, started_ms, coalesce(started_ms, created_ms) AS newest_ms FROM runs ORDER BY 3 DESC, 1 DESC LIMIT 100""")
+def f5_runs_newest_first(spark, d):
+    return quality.newest_runs(_runs(spark, d)).select("run_id", "started_ms", "newest_ms")
+
+
+@query(f"""{LINES}, e AS (SELECT *, problem AS event_type FROM lines UNION ALL SELECT *, warning FROM lines)
+  SELECT run_id, row_number AS source_row, event_type, CASE WHEN k % 13 = 0 THEN 'xx' ELSE strftime(make_timestamp(ms * 1000), '%Y-%m-%d-%H:%M:%S.') || lpad(CAST(ms % 1000 AS VARCHAR), 3, '0') END AS source_timestamp_text,
+    coalesce(CASE WHEN k % 13 = 0 THEN 'xx;1;1;1;1' END, '') AS raw_text FROM e WHERE event_type IS NOT NULL""")
+def b14_rejected_rows(spark, d):
+    """Rejected rows, stored as events without a frame, as the event view reads them back."""
+    told = tail.rejected_rows(_rows(spark, d), spark.createDataFrame([], "run_id string, event_type string, metadata_json string"))
+    stored = told.select(_run(), F.lit(None).cast("long").alias("seq"), F.lit(None).cast("long").alias("event_id"), F.lit(None).cast("int").alias("channel_id"), "event_type", "metadata_json")
+    found = views.placed_events(stored, frames(spark, d).withColumn("source_timestamp_text", F.lit("")), spark.createDataFrame([], "channel_id int, code string"))
+    raw = F.get_json_object("metadata_json", "$.raw_text")
+    return found.select("run_id", "source_row", "event_type", "source_timestamp_text", F.when(raw.startswith("xx"), raw).otherwise("").alias("raw_text"))
 
 
 @query(f"""{LINES}, n AS (SELECT run_id, run_id % 5 AS folder, count(*) AS n, arg_max(ms, seq) AS x, max(ms) FILTER (problem <> 'csv_row_timestamp_error' OR problem IS NULL) AS ms FROM lines GROUP BY run_id),

@@ -127,7 +127,6 @@ _T = {
     "d1_run_bounds": (BOUNDS, "SELECT run_id, started_ms, finished_ms FROM bounds"),
     "d11_timeline_extent": (BOUNDS, "SELECT run_id, started_ms, finished_ms, finished_ms - started_ms AS span_ms FROM bounds"),
     "d12_next_sequence": (BOUNDS, "SELECT run_id, last_seq, last_seq + 1 AS next_seq FROM bounds"),
-    "f5_runs_newest_first": (BOUNDS, "SELECT run_id, started_ms FROM bounds ORDER BY started_ms DESC, run_id DESC LIMIT 100"),
     "d2_channel_count": (CELLS, "SELECT run_id, count(DISTINCT channel) AS channels FROM cells GROUP BY run_id"),
     "d8_channel_medians": (CELLS, "SELECT run_id, channel, round(median(value), 6) AS median FROM cells WHERE NOT (channel IN ('RAF1', 'RAF2') AND abs(value - 850) <= 0.5) GROUP BY ALL"),
     "d14_channel_order": (CELLS, "SELECT run_id, channel, min(seq) AS seq, CAST(arg_min(rank, seq) AS BIGINT) AS rank FROM cells GROUP BY ALL"),

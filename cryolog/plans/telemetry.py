@@ -236,11 +236,6 @@ def f3_after_sequence(spark, d):
     return frames(spark, d).where("seq > 10").withColumn("n", n).where("n <= 15").select("run_id", "seq", "ms")
 
 
-@query
-def f5_runs_newest_first(spark, d):
-    return ingest.bounds(frames(spark, d)).select("run_id", "started_ms").orderBy(F.desc("started_ms"), F.desc("run_id")).limit(100)
-
-
 @query
 def g1_incremental_merge(spark, d):
     f = frames(spark, d).select("run_id", "seq", "ms", F.lit("current").alias("origin"))

@@ -91,6 +91,12 @@ def log_rows(headed: DataFrame) -> DataFrame:
     kept = [c for c in files.columns if c not in ("content", "lines", "reason")]
     rows = files.select(*kept, F.posexplode(F.expr("slice(lines, 2, size(lines))")).alias("pos", "raw_line"))
     rows = rows.withColumns({"row_number": (F.col("pos") + 2).cast("long"), "fields": split_fields(F.col("raw_line"))})
+    return judged(rows).drop("pos", "whole")
+
+
+def judged(rows: DataFrame) -> DataFrame:
+    """Numbered lines of ready files (raw_line, fields, whole: valid bytes) with moment, ms, source_timestamp_text, problem and
+    warning."""
     text = F.get("fields", F.col("stamp") - 1)
     moment = F.when(F.col("timed"), parse.clock_timestamp(text, F.col("date"))).otherwise(parse.log_timestamp(text))
     extra = F.exists(F.slice("fields", F.size("header") + 1, F.size("fields")), lambda x: x != "")
@@ -99,7 +105,7 @@ def log_rows(headed: DataFrame) -> DataFrame:
     uneven = ~broken & ~extra & (F.size("fields") != F.size("header"))
     rows = rows.withColumn("moment", moment).withColumns({"problem": problem, "warning": F.when(uneven, "csv_row_shape_warning")})
     stamp_text = F.when(F.col("timed"), F.date_format("moment", "yyyy-MM-dd-HH:mm:ss.SSS")).otherwise(text)
-    return rows.withColumns({"ms": parse.epoch_ms("moment"), "source_timestamp_text": stamp_text}).drop("pos", "whole")
+    return rows.withColumns({"ms": parse.epoch_ms("moment"), "source_timestamp_text": stamp_text})
 
 
 def cells(rows: DataFrame) -> DataFrame:
@@ -111,9 +117,12 @@ def cells(rows: DataFrame) -> DataFrame:
 
 
 def row_events(rows: DataFrame) -> DataFrame:
-    """Quarantined rows and width warnings with the raw line; a row can have both."""
+    """Quarantined rows and width warnings, a row can have both, with metadata in the keys that the event views read: file, row
+    number, time text and raw text, and as details the fields."""
     both = F.filter(F.array(F.struct(F.col("warning").alias("event_type"), F.lit("warning").alias("severity")), F.struct(F.col("problem").alias("event_type"), F.lit("error").alias("severity"))), lambda x: x["event_type"].isNotNull())
-    detail = F.to_json(F.struct("fields", "raw_line", "row_number"), {"ignoreNullFields": "false"})
+    name, text = F.element_at(F.split("path", "/"), -1), F.get("fields", F.col("stamp") - 1)
+    told = F.struct(name.alias("source_file_name"), F.col("row_number").alias("source_row_number"), text.alias("source_timestamp_text"), F.col("raw_line").alias("raw_text"), F.struct("fields").alias("details"))
+    detail = F.to_json(told, {"ignoreNullFields": "false"})
     return rows.select("path", "row_number", detail.alias("metadata_json"), F.inline(both))
 
 

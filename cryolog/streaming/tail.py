@@ -78,5 +78,5 @@ def rejected_rows(rows: DataFrame, stored: DataFrame) -> DataFrame:
     """Events of the rows (of ``advance``) that were refused or warned of, under their folder as run_id and the row number in the
     file, without those that are ``stored`` (run_id, event_type, metadata_json) already."""
     named = F.expr("left(path, length(path) - length(element_at(split(path, '/'), -1)) - 1)")
-    found = logfiles.row_events(rows).select(named.alias("run_id"), "path", "row_number", "event_type", "severity", F.to_json(F.struct(F.col("path").alias("file"), F.col("metadata_json").alias("details"))).alias("metadata_json"))
+    found = logfiles.row_events(rows).select(named.alias("run_id"), "path", "row_number", "event_type", "severity", "metadata_json")
     return views.new_events(found, stored)
