@@ -66,18 +66,18 @@ class Known(NamedTuple):
 
 
 class Store:
-    """The tables of ``folder``."""
+    """The ``tables`` (name, columns) of ``folder``."""
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
-        for name in TABLES:
+    def __init__(self, spark: SparkSession, folder: str, tables: dict[str, str] = TABLES):
+        self.spark, self.folder, self.tables = spark, folder, tables
+        for name in tables:
             self._empty(name).write.mode("append").partitionBy("step").parquet(f"{folder}/{name}")
 
     def _empty(self, name: str) -> DataFrame:
-        return self.spark.createDataFrame([], f"{TABLES[name]}, step bigint")
+        return self.spark.createDataFrame([], f"{self.tables[name]}, step bigint")
 
     def _read(self, name: str) -> DataFrame:
-        return self.spark.read.schema(f"{TABLES[name]}, step bigint").parquet(f"{self.folder}/{name}")
+        return self.spark.read.schema(f"{self.tables[name]}, step bigint").parquet(f"{self.folder}/{name}")
 
     def last(self) -> int | None:
         return self._read("steps").agg(F.max("step")).first()[0]
