@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.profile import SHELVES, Profile
 from .analysis import ORDER, shelf_off
+from .select import exact_medians
 
 
 def long_cells(frames: DataFrame, channels: list[str]) -> DataFrame:
@@ -37,7 +38,7 @@ def line_series(frames: DataFrame, channels: list[str], p: Profile) -> DataFrame
 def medians(cells: DataFrame, p: Profile) -> DataFrame:
     """Median of the values of each channel, shelves that are off left out."""
     off = F.col("channel").isin(SHELVES) & shelf_off(F.col("value"), p)
-    return cells.where(~off).groupBy("run_id", "channel").agg(F.median("value").alias("median"))
+    return exact_medians(cells.where(~off), ["run_id", "channel"])
 
 
 def shelf_average(frames: DataFrame, p: Profile) -> DataFrame:

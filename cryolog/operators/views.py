@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.profile import CHANNELS, GROUPS, SHELF_AVERAGE, SHELVES, Profile
 from . import quality
 from .analysis import shelf_off
+from .select import exact_medians
 from .series import gap_breaks
 
 KEY = ["run_id", "seq"]
@@ -107,7 +108,7 @@ def line_points(frames: DataFrame, flagged_cells: DataFrame, channels: list[str]
 
 def good_medians(cells: DataFrame, p: Profile) -> DataFrame:
     """Median of each channel's good values, shelves that are off left out."""
-    return cells.where(F.col("quality") == "good").where(~_off(p)).groupBy("run_id", "channel").agg(F.median("value").alias("median"))
+    return exact_medians(cells.where(F.col("quality") == "good").where(~_off(p)), ["run_id", "channel"])
 
 
 def suspect_markers(flagged_cells: DataFrame, p: Profile) -> DataFrame:
