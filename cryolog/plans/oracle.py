@@ -102,6 +102,8 @@ _T = {
       UNION ALL SELECT run_id, seq, 'S4_S2_DEVIATION_C', S4 - S2, '°C' FROM derived UNION ALL SELECT run_id, seq, 'INTERVAL_ENERGY_KWH', interval_kwh, 'kWh' FROM derived
       UNION ALL SELECT run_id, seq, 'CUMULATIVE_ENERGY_KWH', cumulative_kwh, 'kWh' FROM derived UNION ALL SELECT run_id, seq, 'WEIGHT_DELTA_KG', weight_delta, 'kg' FROM derived
       UNION ALL SELECT run_id, seq, 'WEIGHT_LOSS_KG', -weight_delta, 'kg' FROM derived) WHERE value IS NOT NULL"""),
+    "i10_resumed_analysis": (STATES + DERIVED.removeprefix(FRAMES), """SELECT run_id, seq, CAST(l.chain AS BIGINT) AS chain, CAST(l.segment AS BIGINT) AS segment, l.state, CAST(l.loop AS BIGINT) AS loop, weight_delta,
+      round(cumulative_kwh, 4) AS cumulative_kwh FROM looped l JOIN derived USING (run_id, seq)"""),
     "e8_state_inference": (STATES, "SELECT run_id, seq, state FROM steps"),
     "e9_state_segments": (STATES, "SELECT run_id, CAST(segment AS BIGINT) AS segment, state, CAST(loop AS BIGINT) AS loop, started_ms, finished_ms, start_seq, end_seq, frames, CASE WHEN loop IS NOT NULL THEN 0.95::DOUBLE ELSE 0.55::DOUBLE END AS confidence FROM segments"),
     "e10_loop_numbers": (STATES, "SELECT run_id, seq, CAST(loop AS BIGINT) AS loop FROM looped"),
