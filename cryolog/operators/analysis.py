@@ -27,7 +27,9 @@ def with_lookups(frames: DataFrame) -> DataFrame:
 
 
 def with_basics(frames: DataFrame, p: Profile) -> DataFrame:
-    """active (shelves on), coil (hottest), gap_min to the frame before, chain (a new one after a gap beyond the limit)."""
+    """active (shelves on), coil (hottest), gap_min to the frame before, chain (a new one after a gap beyond the limit); the
+    channels of the rules go by their first names, see ``with_lookups``."""
+    frames = with_lookups(frames)
     run = Window.partitionBy("run_id").orderBy(*ORDER)
     have = [c for c in SHELVES if c in frames.columns]
     active = sum((F.coalesce((~shelf_off(F.col(c), p)).cast("int"), F.lit(0)) for c in have), F.lit(0))

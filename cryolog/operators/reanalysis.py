@@ -22,7 +22,7 @@ def analysed(frames: DataFrame, p: Profile) -> DataFrame:
 
 
 def chain_ends(rows: DataFrame, frame_columns: list[str]) -> DataFrame:
-    """What each chain of ``rows`` (see ``analysed``) hands on; ``frame_columns``: those of a frame, run_id apart."""
+    """What each chain of ``rows`` (see ``analysed``) hands on; ``frame_columns``: those of a frame under their first names."""
     run = Window.partitionBy("run_id").orderBy("chain")
     last = F.max_by(F.struct(*(f"`{c}`" for c in frame_columns if c != "run_id")), F.struct(*an.ORDER)).alias("last")
     weight = F.max_by("TARTIM", F.when(F.col("TARTIM").isNotNull(), F.struct(*an.ORDER))).alias("weight")
@@ -49,6 +49,7 @@ def resumed_frames(frames: DataFrame, at: DataFrame) -> DataFrame:
 
 def resume(frames: DataFrame, at: DataFrame, p: Profile) -> DataFrame:
     """``analysed`` rows of ``resumed_frames``, as an analysis of all ``frames`` would give them."""
+    frames = an.with_lookups(frames)
     names = frames.columns
     part = resumed_frames(frames, at).withColumn("_carried", F.lit(False))
     last = {c: F.col("run_id") if c == "run_id" else F.col("carry.weight") if c == "TARTIM" else F.col(f"carry.last.`{c}`") for c in names}
