@@ -91,10 +91,11 @@ def b13_row_events(spark, d):
     return logfiles.row_events(_rows(spark, d)).select(_run(), "row_number", "event_type", "severity")
 
 
-@query(f"""{LINES} SELECT run_id, row_number, CASE WHEN k % 3 <> 0 THEN CAST(k % 3 AS VARCHAR) END AS recipe_code, 'STEP_' || (k % 4) AS state_code
+@query(f"""{LINES} SELECT run_id, row_number, CASE WHEN k % 3 <> 0 THEN CAST(k % 3 AS VARCHAR) END AS recipe_code, 'STEP_' || (k % 4) AS state_code, 'Reçete adım ' || (k % 4) AS state_name,
+  '{{"source":"csv","recipe_no":' || CASE WHEN k % 3 <> 0 THEN '"' || (k % 3) || '"' ELSE 'null' END || ',"recipe_step":"' || (k % 4) || '"}}' AS source_payload_json
   FROM lines WHERE problem IS NULL AND warning IS NULL AND k % 4 <> 0""")
 def b17_recipe_steps(spark, d):
-    return logfiles.steps(_rows(spark, d)).select(_run(), "row_number", "recipe_code", "state_code")
+    return logfiles.steps(_rows(spark, d)).select(_run(), "row_number", "recipe_code", "state_code", "state_name", "source_payload_json")
 
 
 @query(f"""{LINES}, good AS (SELECT *, ms - lag(ms) OVER (PARTITION BY run_id ORDER BY seq) AS gap FROM lines WHERE problem IS NULL),

@@ -48,6 +48,11 @@ def _text() -> Column:
     return F.regexp_replace(F.col("content").cast("string"), "^﻿", "")
 
 
+def lossy_text(content: Column) -> Column:
+    """Bytes as text: what is no UTF-8 becomes U+FFFD, and a byte order mark at the start goes."""
+    return F.regexp_replace(F.make_valid_utf8(content.cast("string")), "^\ufeff", "")
+
+
 def split_fields(line: Column) -> Column:
     """Fields between semicolons outside quotes, trimmed and unquoted."""
     parts = F.split(line, r';(?=(?:[^"]*"[^"]*")*[^"]*$)')
@@ -127,11 +132,14 @@ def row_events(rows: DataFrame) -> DataFrame:
 
 
 def steps(rows: DataFrame) -> DataFrame:
-    """Recipe steps of accepted rows: STEP_<token> where the step column is filled and not zero; the code only if not zero."""
+    """Recipe steps of accepted rows: STEP_<token> where the step column is filled and not zero; the code only if not zero, and the
+    payload with both."""
     at = lambda name: F.get("fields", F.array_position("codes", name).cast("int") - 1)
     code, step = at(STEP_COLUMNS[0]), at(STEP_COLUMNS[1])
     real = lambda c: F.when((c != "") & ~parse.zero_like(c), c)
-    out = rows.where("problem IS NULL").select("path", "row_number", "ms", real(code).alias("recipe_code"), F.concat(F.lit("STEP_"), parse.state_token(real(step))).alias("state_code"))
+    told = F.struct(F.lit("csv").alias("source"), real(code).alias("recipe_no"), step.alias("recipe_step"))
+    payload = F.to_json(told, {"ignoreNullFields": "false"}).alias("source_payload_json")
+    out = rows.where("problem IS NULL").select("path", "row_number", "ms", real(code).alias("recipe_code"), F.concat(F.lit("STEP_"), parse.state_token(real(step))).alias("state_code"), F.concat(F.lit("Reçete adım "), step).alias("state_name"), payload)
     return out.where("state_code IS NOT NULL")
 
 

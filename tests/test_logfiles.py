@@ -143,3 +143,9 @@ def test_imports_and_analyses_are_replaced_as_a_whole(spark, tmp_path):
     sinks.write_analysis({"cycles": rows((1, "e"))}, rows((1, ""), (2, "")), "p2", folder)
     sinks.write_analysis({"cycles": rows((1, "f"))}, rows((1, ""), (2, "")), "p1", folder)
     assert stored("cycles", "profile") == [(1, "p1", "f"), (1, "p2", "e")]
+
+
+def test_lossy_text(spark):
+    texts = [b"\xef\xbb\xbfa\xffb", b"\xe2\x82x", b"\xc3\xa9;\xf0\x9f\x98\x80", b"", b"\xed\xa0\x80"]
+    df = spark.createDataFrame([(i, bytearray(t)) for i, t in enumerate(texts)], "i int, content binary")
+    assert [r.t for r in df.select("i", logfiles.lossy_text(F.col("content")).alias("t")).orderBy("i").collect()] == [t.decode("utf-8-sig", errors="replace") for t in texts]
