@@ -63,17 +63,20 @@ def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
     return mixed((sums[gram:] - sums[:-gram]) * down[: len(data) - gram + 1])
 
 
-def window_minima(h: np.ndarray, width: int) -> np.ndarray:
-    """For each window of ``width`` values, the position of its leftmost smallest one."""
-    n = len(h) - width + 1
-    best, at, span = h.copy(), np.arange(len(h)), 1
-    while span < width:  # minima over `span` values from each position; two of them make a window twice as long
-        step = min(span, width - span)
-        left, right = best[: len(best) - step], best[step:]
-        keep = left <= right
-        best, at = np.where(keep, left, right), np.where(keep, at[: len(at) - step], at[step:])
-        span += step
-    return at[:n]
+class WindowMinima:
+    """For each window of some values, the position of its leftmost smallest one; a wider window goes on from a narrower one."""
+
+    def __init__(self, h: np.ndarray):
+        self.best, self.at, self.span = h, np.arange(len(h)), 1
+
+    def of(self, width: int) -> np.ndarray:
+        while self.span < width:  # minima over `span` values from each position; two of them make a window twice as long
+            step = min(self.span, width - self.span)
+            left, right = self.best[: len(self.best) - step], self.best[step:]
+            keep = left <= right
+            self.best, self.at = np.where(keep, left, right), np.where(keep, self.at[: len(self.at) - step], self.at[step:])
+            self.span += step
+        return self.at
 
 
 def anchors(text: bytes, length: int, gram: int, dense: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -83,10 +86,11 @@ def anchors(text: bytes, length: int, gram: int, dense: int) -> tuple[np.ndarray
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
     h = gram_hashes(np.frombuffer(text, np.uint8), gram)
     distinct = lambda at: at[np.concatenate([[True], at[1:] != at[:-1]])]
-    where = distinct(window_minima(h, dense - gram + 1))
+    minima = WindowMinima(h)
+    where = distinct(minima.of(dense - gram + 1))
     main = np.zeros(len(h), bool)
     if len(text) >= length:
-        main[where if dense == length else window_minima(h, length - gram + 1)] = True
+        main[where if dense == length else minima.of(length - gram + 1)] = True
     return where, h[where].view(np.int64), main[where]
 
 
