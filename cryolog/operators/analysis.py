@@ -1,8 +1,7 @@
 """States, cycles, diagnostics and derived values of runs, with built-in windows only.
 
 A frame table is wide: run_id, seq, ms (epoch milliseconds), the channels of the profile and run_status.  All windows
-partition by run first, so one shuffle serves them; chains of a run are independent, so a very long run can be dealt by
-(run, chain) for all but the cumulative columns.
+partition by run first, so one shuffle serves them and a run is one task; ``dealt`` has the same for very long runs.
 """
 
 from __future__ import annotations
@@ -26,17 +25,20 @@ def with_lookups(frames: DataFrame) -> DataFrame:
     return frames.withColumns(values).drop(*(n for code, names in present.items() for n in names if n != code))
 
 
-def with_basics(frames: DataFrame, p: Profile) -> DataFrame:
-    """active (shelves on), coil (hottest), gap_min to the frame before, chain (a new one after a gap beyond the limit); the
-    channels of the rules go by their first names, see ``with_lookups``."""
+def with_shelves(frames: DataFrame, p: Profile) -> DataFrame:
+    """active (shelves on) and coil (hottest); the channels of the rules go by their first names, see ``with_lookups``."""
     frames = with_lookups(frames)
-    run = Window.partitionBy("run_id").orderBy(*ORDER)
     have = [c for c in SHELVES if c in frames.columns]
     active = sum((F.coalesce((~shelf_off(F.col(c), p)).cast("int"), F.lit(0)) for c in have), F.lit(0))
     coils = [F.when(~shelf_off(F.col(c), p), F.col(c)) for c in COILS if c in frames.columns]
     coil = F.greatest(*coils) if len(coils) > 1 else coils[0] if coils else F.lit(None).cast("double")
-    gap = (F.col("ms") - F.lag("ms").over(run)) / 60000.0
-    out = frames.withColumns({"active": active, "coil": coil, "gap_min": gap})
+    return frames.withColumns({"active": active, "coil": coil})
+
+
+def with_basics(frames: DataFrame, p: Profile) -> DataFrame:
+    """``with_shelves``, and gap_min to the frame before and chain (a new one after a gap beyond the limit)."""
+    run = Window.partitionBy("run_id").orderBy(*ORDER)
+    out = with_shelves(frames, p).withColumn("gap_min", (F.col("ms") - F.lag("ms").over(run)) / 60000.0)
     reset = F.coalesce(F.col("gap_min") > p.state_reset_gap_minutes, F.lit(False)).cast("int")
     return out.withColumn("reset", reset).withColumn("chain", F.sum("reset").over(run))
 
@@ -103,14 +105,12 @@ def segments(looped: DataFrame) -> DataFrame:
 def cycles(looped: DataFrame) -> DataFrame:
     """A row for each loop: milestones, end, status and confidence."""
     first = lambda s: F.min(F.when(F.col("state") == s, F.col("ms")))
-    run = Window.partitionBy("run_id")
-    framed = looped.withColumns({"run_last_ms": F.max("ms").over(run), "run_last_chain": F.max("chain").over(run)})
-    framed = framed.withColumn("chain_last_ms", F.max("ms").over(Window.partitionBy("run_id", "chain")))
-    found = framed.where("loop IS NOT NULL").groupBy("run_id", "loop").agg(
-        F.first("chain").alias("chain"), F.min("ms").alias("started_ms"), first("DRY").alias("dry_ms"), first("STOP").alias("stop_ms"), first("WAIT").alias("wait_ms"),
-        first("DEFROST").alias("defrost_ms"), first("DEFROST_STOP").alias("defrost_stop_ms"), F.first("run_last_ms").alias("run_last_ms"),
-        F.first("run_last_chain").alias("run_last_chain"), F.first("chain_last_ms").alias("chain_last_ms"), F.first("run_status").alias("run_status"),
+    found = looped.groupBy("run_id", "chain", "loop").agg(
+        F.min("ms").alias("started_ms"), F.max("ms").alias("last_ms"), first("DRY").alias("dry_ms"), first("STOP").alias("stop_ms"), first("WAIT").alias("wait_ms"),
+        first("DEFROST").alias("defrost_ms"), first("DEFROST_STOP").alias("defrost_stop_ms"), F.first("run_status").alias("run_status"),
     )
+    run, chain = Window.partitionBy("run_id"), Window.partitionBy("run_id", "chain")  # ends of runs and chains are those of their loops and of what is in none
+    found = found.withColumns({"run_last_ms": F.max("last_ms").over(run), "run_last_chain": F.max("chain").over(run), "chain_last_ms": F.max("last_ms").over(chain)}).where("loop IS NOT NULL")
     loops = Window.partitionBy("run_id").orderBy("loop")
     next_start, next_chain = F.lead("started_ms").over(loops), F.lead("chain").over(loops)
     ended, running = F.col("defrost_stop_ms").isNotNull(), F.col("run_status") == "running"

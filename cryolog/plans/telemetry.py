@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import parse
@@ -18,20 +18,26 @@ CHANNELS = ["RAF1", "RAF2", "VACUM", "S2", "S4", "E.GUC", "TARTIM"]
 _FOUND: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
-def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A run for each user and a frame for each event; time runs sixty times slower than in the table."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+def wide(e: DataFrame, run: Column, seq: Column, slower: int) -> DataFrame:
+    """A frame for each event; a millisecond stands for ``slower`` microseconds of the table."""
     k, value, kind = F.get_json_object("props", "$.k").cast("int"), F.col("value"), F.col("event_type")
-    ms = F.expr("1704067200000L + (timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts) - 1704067200000000L) DIV 60000L")
+    ms = F.expr(f"1704067200000L + (timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts) - 1704067200000000L) DIV {slower}L")
     return e.select(
-        F.col("user_id").alias("run_id"), F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long").alias("seq"), ms.alias("ms"), k.alias("k"), kind.alias("kind"),
+        run.alias("run_id"), seq.cast("long").alias("seq"), ms.alias("ms"), k.alias("k"), kind.alias("kind"),
         F.when(kind == "error", 850.0).otherwise(value - 50).alias("RAF1"), F.when(kind.isin("error", "signup"), 850.0).otherwise(value - 50).alias("RAF2"),
         F.when(k % 17 != 0, value / 10).alias("VACUM"), ((k - 60) / 2.0).cast("double").alias("S2"), (k * 7 % 50 - 30).cast("double").alias("S4"),
         F.when(kind != "view", value).alias("E.GUC"), F.when(kind.isin("click", "purchase"), k.cast("double")).alias("TARTIM"),
-        F.when(F.col("user_id") % 3 == 0, "completed").otherwise("running").alias("run_status"),
+        F.when(run % 3 == 0, "completed").otherwise("running").alias("run_status"),
     )
 
 
+def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run for each user and a frame for each event; time runs sixty times slower than in the table."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    seq = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    return wide(e, F.col("user_id"), seq, 60000)
+
+
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     _FOUND[f.__name__] = f
     return f

@@ -6,9 +6,10 @@ import duckdb
 import pandas as pd
 import pytest
 
-from cryolog.plans import imports, oracle, stored, telemetry
+from cryolog.plans import imports, long_runs, oracle, stored, telemetry
 
-QUERIES, SQL = telemetry.queries() | imports.queries() | stored.queries(), oracle.oracle_sql() | imports.oracle_sql() | stored.oracle_sql()
+QUERIES = telemetry.queries() | imports.queries() | stored.queries() | long_runs.queries()
+SQL = oracle.oracle_sql() | imports.oracle_sql() | stored.oracle_sql() | long_runs.oracle_sql()
 SF = "/root/testdata/sf0.001"
 
 
