@@ -1,7 +1,7 @@
 """Log files as DataFrames: listing, order, header checks, rows, cells, row events and reports.
 
 A file is one row with its bytes, as daily logs are small; work is dealt by file and nothing but a file's own rows is ever
-grouped.  Files of many GB need a line-based source instead.
+grouped.  Files of many GB are for ``splitlines``, which gives the same rows from splits of files.
 """
 
 from __future__ import annotations
@@ -63,7 +63,12 @@ def split_fields(line: Column) -> Column:
 def with_header(files: DataFrame) -> DataFrame:
     """header, codes (null at the timestamp), stamp (its place), timed (time of day only), date, status (ready, incomplete, invalid) and reason."""
     line = F.regexp_replace(F.substring_index(_text(), "\n", 1), "\r$", "")
-    out = files.withColumns({"line": line, "complete": F.instr(_text(), "\n") > 0, "date": parse.file_date(F.col("file"))})
+    return judged_header(files.withColumns({"line": line, "complete": F.instr(_text(), "\n") > 0}))
+
+
+def judged_header(files: DataFrame) -> DataFrame:
+    """``with_header`` of files with their first ``line`` and whether it is ``complete``."""
+    out = files.withColumn("date", parse.file_date(F.col("file")))
     out = out.withColumn("header", split_fields(F.col("line")))
     code = lambda x: F.when(~parse.is_timestamp_header(x), parse.canonical_channel(x))
     out = out.withColumn("codes", F.transform("header", code))
