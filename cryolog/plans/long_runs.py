@@ -1,4 +1,4 @@
-"""Queries over one run that all events make up, dealt by stretches of time and chains, and over intervals that overlap."""
+"""Queries over one run or one file that all events make up, dealt by stretches of time, chains and rows, and over intervals that overlap."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import analysis as an
 from ..operators import dealt, intervals
+from ..streaming import ranges
 from .oracle import DERIVED, FRAMES, STATES, _T
 from .telemetry import P, frames, wide
 
@@ -81,6 +82,23 @@ def c14_all_overlapping(spark, d):
     return intervals.covering(_points(f), _nested(f)).select("run_id", "point_id", "segment")
 
 
+PUSHED = """r AS (SELECT event_id, row_number() OVER (ORDER BY event_id) AS n, 10 * (event_id // 3) + CASE WHEN event_id % 3 = 0 THEN 0 WHEN k % 7 = 0 THEN 50 WHEN k % 5 = 0 THEN -10 ELSE 0 END AS lo,
+  CASE WHEN event_id % 3 = 2 AND k % 10 < 4 THEN 5 ELSE 1000000000000 END AS size FROM (SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)),
+f AS (SELECT n, event_id, CASE WHEN lo + 10 > size THEN 'beyond' WHEN lo > 0 THEN 'hole' WHEN lo < 0 THEN 'replay' ELSE 'accepted' END AS verdict, CASE WHEN lo + 10 <= size AND lo = 0 THEN 10 ELSE 0 END AS reach FROM r WHERE n = 1
+  UNION ALL SELECT r.n, r.event_id, CASE WHEN r.lo + 10 > r.size THEN 'beyond' WHEN r.lo > f.reach THEN 'hole' WHEN r.lo < f.reach THEN 'replay' ELSE 'accepted' END,
+    CASE WHEN r.lo + 10 <= r.size AND r.lo = f.reach THEN r.lo + 10 ELSE f.reach END FROM f JOIN r ON r.n = f.n + 1)"""
+
+
+@query(PUSHED, "SELECT event_id, verdict FROM f")
+def i7_long_range_fold(spark, d):
+    """All events as ranges of one file."""
+    e = spark.read.parquet(f"{d}/events.parquet")
+    i, k = F.col("event_id"), F.get_json_object("props", "$.k").cast("int")
+    shift = F.when(i % 3 == 0, 0).when(k % 7 == 0, 50).when(k % 5 == 0, -10).otherwise(0)
+    pushed = e.select(i.alias("arrival"), F.lit("s").alias("source"), F.lit("f").alias("file"), (F.floor(i / 3) * 10 + shift).alias("from_byte"), F.when((i % 3 == 2) & (k % 10 < 4), 5).otherwise(10**12).alias("size"))
+    return ranges.fold_ranges(pushed.withColumn("to_byte", F.col("from_byte") + 10)).select(F.col("arrival").alias("event_id"), "verdict")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_FOUND)
 

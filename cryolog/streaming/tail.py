@@ -53,7 +53,7 @@ def fold_ranges(ranges: DataFrame) -> DataFrame:
     """``verdict`` of pushed ranges (source, file, arrival, from_byte, to_byte, size): accepted, replay, hole or beyond.
 
     Only a range that starts at the running end moves it on.  A file's ranges come in chunks of up to a megabyte, so those
-    of one file are few and folded as an array; the bytes themselves are not in it.
+    of one file are few and folded as an array; the bytes themselves are not in it.  ``ranges`` has the same for very many.
     """
     fits = lambda r: r["to_byte"] <= r["size"]
     said = lambda end, r: F.when(~fits(r), "beyond").when(r["from_byte"] > end, "hole").when(r["from_byte"] < end, "replay").otherwise("accepted")
