@@ -67,3 +67,10 @@ def test_intervals_equal_comparisons(spark, width):
     assert rounded(intervals.covering(p, s)) == sorted(pairs, key=repr)
     best = {(run, n, t): max(((x[2], x[1]) for x in segments if x[0] == run and covers(x, t)), default=(None, None))[1] for run, n, t in points}
     assert rounded(intervals.last_covering(p, s)) == sorted(((*k, v) for k, v in best.items()), key=repr)
+
+
+def test_blocks_of_intervals_are_never_broadcast(spark):
+    p, s = spark.createDataFrame([(1, 1, 5)], "run_id long, point_id long, ms long"), spark.createDataFrame([(1, 1, 0, None)], "run_id long, segment long, started_ms long, finished_ms long")
+    for found in (intervals.covering(p, s), intervals.last_covering(p, s)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
