@@ -451,6 +451,14 @@ def test_licences_in_long_lines(spark):
     assert got == {i: (own[i], "own") if i in own else (None, "none") for i in notices} | {7: ("MIT", "inherited")}
 
 
+def test_licences_of_lines_without_a_long_word(spark):
+    texts = ["under CC BY 4.0", "_Licensed under CC BY 4.0._", "by the way", "code", "Licensed under CC BY 4.0. " * 100]
+    out = op8_licences.scan(spark.createDataFrame([(i, f"/{i}/a", t) for i, t in enumerate(texts)], "doc_id long, path string, text string"))
+    got = {r.doc_id: (r.licence, r.cosine) for r in out.collect()}
+    assert [got[i][0] for i in range(5)] == ["CC-BY-4.0", "CC-BY-4.0", None, None, "CC-BY-4.0"]
+    assert got[0][1] >= op8_licences.MIN_COSINE and got[1][1] > 0.99
+
+
 def test_packing(docs, empty):
     coder, pieces = op9_packing.encoder(vocabulary("word_bpe_49k.json"), False), {}
     rows = op9_packing.pack(docs, vocabulary("word_bpe_49k.json"), window=64).collect()
