@@ -45,6 +45,19 @@ def test_no_window_orders_frames_of_a_run(spark):
     assert not any("RAF1" in x.output().mkString() for x in of_runs)  # rows of stretches and chains only
 
 
+def test_no_window_holds_a_chain(spark):
+    rows = dealt.analysed(spark.createDataFrame([], SCHEMA), P)
+    windows = [x for x in nodes(rows._jdf.queryExecution().optimizedPlan()) if x.nodeName() == "Window"]
+    assert windows and not any("chain" in x.partitionSpec().mkString() for x in windows)
+
+
+def test_chains_over_many_stretches(spark):
+    r = random.Random(4)
+    whole = lambda n: [(n, k, k * 60_000, r.choice([-20.0, -20.0, 850.0]), r.choice([0.2, 0.2, 0.9, 30.0, None]), r.choice([1.0, -5.0]), r.choice([2.0, 60.0]), r.choice([0.01, 5.0, None]), None, "running") for k in range(400)]
+    f = spark.createDataFrame([x for n in range(6) for x in whole(n)], SCHEMA)
+    assert shown(dealt.analysed(f, P, 180_000)) == shown(again.analysed(f, P))
+
+
 def test_empty(spark):
     f = spark.createDataFrame([], SCHEMA)
     assert dealt.analysed(f, P).count() == dealt.parallel_events(dealt.analysed(f, P), P).count() == dealt.resets(dealt.analysed(f, P), P).count() == 0
