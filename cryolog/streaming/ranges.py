@@ -2,26 +2,22 @@
 
 The range that moves a file's end on after another one is the first later one that begins where that one ends.  So accepted
 ranges are a list that begins at byte 0, and the pointers of all ranges are doubled in each round: from the first 2^k of the list
-the next 2^k are found by one join.  Rounds are stored as checkpoints.
+the next 2^k are found by one join.  Rounds are stored as tables.
 """
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .append import scratch
+
 
-def _kept(df: DataFrame) -> DataFrame:
-    """``df`` as a checkpoint; a session on one machine without a folder for them gets one."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-ranges-"))
-    return df.checkpoint()
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` written once and read again; a checkpoint would compute its last stage twice."""
+    path = scratch(df.sparkSession, "kept")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def followers(rows: DataFrame) -> DataFrame:
@@ -37,13 +33,13 @@ def fold_ranges(ranges: DataFrame) -> DataFrame:
     file = Window.partitionBy("source", "file").orderBy("arrival", "from_byte", "to_byte", "size")
     numbers = (F.col(c).cast("long").alias(c) for c in ("from_byte", "to_byte", "size"))
     rows = ranges.select("source", "file", "arrival", *numbers).withColumn("n", F.row_number().over(file))
-    rows = _kept(rows.withColumns({"f": F.struct("source", "file"), "fits": F.coalesce(F.expr("to_byte <= size"), F.lit(False))}))
-    reached = _kept(rows.where("fits AND from_byte = 0").groupBy("f").agg(F.min("n").alias("n")))
-    step, found = _kept(followers(rows)), reached
+    rows = kept(rows.withColumns({"f": F.struct("source", "file"), "fits": F.coalesce(F.expr("to_byte <= size"), F.lit(False))}))
+    reached = kept(rows.where("fits AND from_byte = 0").groupBy("f").agg(F.min("n").alias("n")))
+    step, found = kept(followers(rows)), reached
     while not found.isEmpty():
-        found = _kept(reached.join(step, ["f", "n"]).select("f", F.col("next").alias("n")))
+        found = kept(reached.join(step, ["f", "n"]).select("f", F.col("next").alias("n")))
         reached = reached.unionByName(found)
-        step = _kept(step.join(step.select("f", F.col("n").alias("next"), F.col("next").alias("after")), ["f", "next"]).select("f", "n", F.col("after").alias("next")))
+        step = kept(step.join(step.select("f", F.col("n").alias("next"), F.col("next").alias("after")), ["f", "next"]).select("f", "n", F.col("after").alias("next")))
     moved = rows.join(reached.withColumn("_moves", F.lit(True)), ["f", "n"], "left")
     end = F.coalesce(F.last(F.when(F.col("_moves"), F.col("to_byte")), ignorenulls=True).over(Window.partitionBy("f").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     verdict = F.when(~F.col("fits"), "beyond").when(F.col("from_byte") > end, "hole").when(F.col("from_byte") < end, "replay").otherwise("accepted")

@@ -39,3 +39,15 @@ def test_fold_equals_one_by_one(spark):
 
 def test_no_ranges(spark):
     assert ranges.fold_ranges(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_what_is_kept_is_computed_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def looked(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    rows = ranges.kept(spark.range(50).mapInPandas(looked, "id long"))
+    assert rows.count() == seen.value == 50
