@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import ingest, quality, views
 from ..sources import batches, logfiles, sinks
 from ..streaming import append, tail
+from ..streaming.ranges import kept
 from .oracle import FRAMES
 from .telemetry import frames
 
@@ -189,6 +190,7 @@ def _appended(spark: SparkSession, d: str) -> append.Store:
     sample = F.struct(moment.alias("sampled_at"), F.when(F.col("batch_id") % 5 < 3, seq).alias("source_sequence"), state.alias("state_observation"), cells.alias("measurements"))
     each = rows.groupBy("run_id", "batch_id").agg(F.array_sort(F.collect_list(F.struct("seq", F.to_json(sample).alias("s")))).alias("all"))
     sent = each.select("run_id", "batch_id", F.from_json(F.concat(F.lit('{"samples":['), F.array_join("all.s", ","), F.lit("]}")), batches.SCHEMA)["samples"].alias("samples"))
+    sent = kept(sent)  # read by each of the steps
     runs = frames(spark, d).select("run_id").distinct()
     known = append.Catalogue(
         assignments=lambda: runs.select("run_id", (F.col("run_id") + 1000).alias("assignment_id"), F.lit(1).alias("version_id"), F.lit(0).alias("assigned_ms"), F.lit("primary").alias("role"), F.lit(True).alias("active")),

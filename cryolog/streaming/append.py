@@ -13,6 +13,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import reduce
 from itertools import count
 from typing import NamedTuple
 
@@ -148,10 +149,9 @@ def _trimmed(name: str) -> Column:
     return F.when(text != "", text).alias(name)
 
 
-def observed(new: DataFrame, catalogue: Catalogue) -> DataFrame:
-    """The state observations of inserted samples, with the active assignment of their run and the recipe state they name, own
-    code before external code."""
-    rows = new.where("state_observation IS NOT NULL").select(*_BATCH, "batch_pos", "seq", "ms", _trimmed("source_recipe_code"), _trimmed("source_recipe_version"), _trimmed("source_state_code"), _trimmed("source_state_name"), "state_observation.source_payload_json")
+def _mapped(rows: DataFrame, catalogue: Catalogue) -> DataFrame:
+    """``rows`` (run_id, source_state_code, …) with the active assignment of their run and the recipe state they name, own code
+    before external code."""
     if catalogue.assignments is None or catalogue.states is None:
         return rows.withColumns({n: F.lit(None).cast("bigint") for n in ("assignment_id", "state_id")})
     assigned = sinks.latest_assignment(catalogue.assignments()).select("run_id", "assignment_id", "version_id")
@@ -161,6 +161,12 @@ def observed(new: DataFrame, catalogue: Catalogue) -> DataFrame:
     return rows.join(assigned, "run_id", "left").join(best, ["version_id", "source_state_code"], "left").drop("version_id")
 
 
+def observed(new: DataFrame, catalogue: Catalogue) -> DataFrame:
+    """The state observations of inserted samples, see ``_mapped``."""
+    rows = new.where("state_observation IS NOT NULL").select(*_BATCH, "batch_pos", "seq", "ms", _trimmed("source_recipe_code"), _trimmed("source_recipe_version"), _trimmed("source_state_code"), _trimmed("source_state_name"), "state_observation.source_payload_json")
+    return _mapped(rows, catalogue)
+
+
 def _stays(observations: DataFrame, ends: DataFrame) -> DataFrame:
     """Mapped observations behind the last stored segment of their assignment, which counts as a first row; ``segment`` and
     ``started``, where the stay before the row began."""
@@ -220,37 +226,47 @@ def step_events(new: DataFrame, cells: DataFrame, observations: DataFrame) -> Da
     return gaps.unionByName(suspect).unionByName(invalid).unionByName(unmapped)
 
 
-def run_step(store: Store, arrived: DataFrame, step: int, catalogue: Catalogue = Catalogue()) -> None:
-    """Applies ``arrived`` (batches as of ``batches.SCHEMA``) as step number ``step``.
+def older_batches(rows: DataFrame, known: Known, catalogue: Catalogue, kept: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """Breaches of batches with a state observation from before their assignment's segment; ``rows`` are those without other breaches.
 
-    A batch with a state observation from before its assignment's segment is refused as a whole, and whether it is depends on
-    the batches before it; so the first such batch of each run is refused and the rest looked at again, until there is none.
+    Whether a batch has one depends on the batches before it; so the first such batch of each run is refused and the rest of
+    these runs looked at again, until there is none.  A look reads no run that the one before found nothing in, and of
+    samples no more than what decides.  ``kept`` stores a table by a name.
     """
+    rows = _mapped(rows.select(*_BATCH, "batch_pos", "seq", "ms", _trimmed("source_state_code")), catalogue).drop("source_state_code")
+    rows, found = kept(rows.repartition("run_id"), "open-0"), []
+    for round_ in count():
+        older = kept(older_observations(inserted(numbered(rows, known.runs), known), known.segments), f"older-{round_}")
+        found.append(older)
+        if older.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+        rows = kept(rows.join(older.select("run_id"), "run_id", "left_semi").join(older.select(*_BATCH), _BATCH, "left_anti"), f"open-{round_ + 1}")
+
+
+def run_step(store: Store, arrived: DataFrame, step: int, catalogue: Catalogue = Catalogue()) -> None:
+    """Applies ``arrived`` (batches as of ``batches.SCHEMA``) as step number ``step``.  See ``older_batches`` for batches that are refused
+    for what the batches before them hold."""
     last = store.last()
     if last is not None and step < last:
         raise ValueError(f"step {step} comes after step {last}: this checkpoint is older than the store")
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{store.folder}/work/{name}")
+        return store.spark.read.schema(df.schema).parquet(f"{store.folder}/work/{name}")
+
     # what arrived lies in the store too, so that each look at it reads the same rows
-    work = f"{store.folder}/work"
-    batches.samples(arrived).write.mode("overwrite").parquet(f"{work}/arrived")
-    rows = store.spark.read.parquet(f"{work}/arrived").repartition("run_id")  # which serves all windows below
+    rows = kept(batches.samples(arrived), "arrived")
     known = store.known(step, rows.select("run_id").distinct())
-    refused = batches.violations(rows, catalogue.closed() if catalogue.closed else None)
-    refused.write.mode("overwrite").parquet(f"{work}/breaches")
-    refused = store.spark.read.schema(refused.schema).parquet(f"{work}/breaches")
-    for round_ in count():
-        good = rows.join(refused.select(*_BATCH).distinct(), _BATCH, "left_anti")
-        new = inserted(numbered(good, known.runs), known)
-        older = older_observations(observed(new, catalogue), known.segments)
-        older.write.mode("overwrite").parquet(f"{work}/older-{round_}")
-        older = store.spark.read.schema(older.schema).parquet(f"{work}/older-{round_}")
-        if not older.limit(1).count():
-            break
-        refused = refused.unionByName(older)
-
-    new.write.mode("overwrite").parquet(f"{work}/new")
-    new = store.spark.read.schema(new.schema).parquet(f"{work}/new")
-    observations, cells = observed(new, catalogue), batches.cells(new)
-    events = step_events(new, cells, observations)
+    known = Known(*(kept(df, f"known-{name}") for name, df in known._asdict().items()))
+    refused = kept(batches.violations(rows, catalogue.closed() if catalogue.closed else None), "breaches")
+    allowed = rows.join(refused.select(*_BATCH).distinct(), _BATCH, "left_anti")
+    refused = refused.unionByName(older_batches(allowed, known, catalogue, kept))
+    # one shuffle by run serves all windows
+    good = rows.join(refused.select(*_BATCH).distinct(), _BATCH, "left_anti").repartition("run_id")
+
+    new = kept(inserted(numbered(good, known.runs), known), "new")
+    observations, cells = kept(observed(new, catalogue), "observations"), kept(batches.cells(new), "cells")
+    events = kept(step_events(new, cells, observations), "events")
     store.write("samples", new, step)
     store.write("cells", cells, step)
     store.write("observations", observations, step)

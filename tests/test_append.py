@@ -136,6 +136,18 @@ def test_steps_against_batches_one_by_one(spark, tmp_path):
         assert got[name] == (want[name] if isinstance(want[name], set) else sorted(want[name], key=repr if name == "reports" else None)), name
 
 
+def test_a_look_reads_only_runs_that_the_one_before_refused_a_batch_of(spark, tmp_path):
+    parts = random_batches(1)
+    again = {r for r, _, why in plain(parts)["refusals"] if why != "run is closed"}
+    assert again and again < {r for r, _, _ in parts}
+    append.run_step(append.Store(spark, str(tmp_path)), rows(spark, parts), 0, catalogue(spark))
+    looks = sorted(tmp_path.glob("work/open-*"), key=lambda p: int(p.name[5:]))
+    read = [spark.read.parquet(str(p)) for p in looks]
+    assert len(read) > 2 and {r.run_id for r in read[1].select("run_id").distinct().collect()} == again
+    counts = [df.count() for df in read]
+    assert all(a > b for a, b in zip(counts, counts[1:])) and "measurements" not in read[0].columns
+
+
 def test_a_step_that_breaks_off_is_done_again(spark, tmp_path, monkeypatch):
     parts = random_batches(3)[:8]
     one, two = append.Store(spark, str(tmp_path / "one")), append.Store(spark, str(tmp_path / "two"))
