@@ -604,3 +604,10 @@ def test_toxicity_against_plain_training(spark):
     assert left.columns == docs.columns and sum(1 for _ in left.collect()) == sum(g.score < 0.3 for g in op10_toxicity.scores(docs, model).collect())
     assert op10_toxicity.drop_toxic(docs, op10_toxicity.train(docs, labels.where("doc_id IN (0, 1)"))).count() == docs.count()  # too few to learn from
     assert op10_toxicity.scores(docs.limit(0), model).count() == 0
+
+
+def test_a_line_meets_its_norm_in_one_row(spark):
+    lines = spark.createDataFrame([(t,) for ts in op8_licences.TEMPLATES.values() for t in ts], "line string")
+    idf, other = op8_licences.idf_of(lines)
+    plan = op8_licences.line_licences(lines, idf, other)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("inline(dots") < plan.rindex("Join Inner, (_line")  # its templates come apart behind the join
