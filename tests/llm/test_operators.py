@@ -611,3 +611,15 @@ def test_a_line_meets_its_norm_in_one_row(spark):
     idf, other = op8_licences.idf_of(lines)
     plan = op8_licences.line_licences(lines, idf, other)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("inline(dots") < plan.rindex("Join Inner, (_line")  # its templates come apart behind the join
+
+
+def test_a_word_of_many_templates_is_one_row_of_their_join(spark):
+    lines = spark.createDataFrame([(f"this x{i} work of the software license",) for i in range(20)], "line string")
+    idf, other = op8_licences.idf_of(lines)
+    left, rows = [op8_licences.line_licences(lines, idf, other)._jdf.queryExecution().optimizedPlan()], []
+    while left:
+        node = left.pop()
+        left += [node.children().apply(i) for i in range(node.children().size())]
+        if node.nodeName() == "Join" and "Inner, (word" in node.toString().split("\n")[0]:
+            rows.append(spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, node).count())
+    assert rows == [20 * 6]  # all words but x
