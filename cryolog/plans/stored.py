@@ -13,7 +13,7 @@ from ..operators import ingest, series, views
 from ..sources import logfiles
 from ..streaming.ranges import kept
 from .oracle import CELLS, FRAMES, STATES, SWAPPED
-from .telemetry import CHANNELS, P, _looped, _swapped, frames
+from .telemetry import CHANNELS, P, _looped, _swapped, frames, parts_of
 
 _FOUND: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -231,16 +231,21 @@ _EVENTS = """(SELECT run_id, seq, ms, 'fd750_state_chain_reset' AS event_type, b
   UNION ALL SELECT run_id, seq, ms, event_type, loop FROM parallel WHERE event_type IS NOT NULL)"""
 
 
+def _kept_loops(spark: SparkSession, d: str) -> DataFrame:
+    """Frames with states and loops, stored once for several readers, each of which deals the runs to as many parts as ``frames``."""
+    return kept(_looped(spark, d)).repartition(parts_of(spark, d), "run_id")
+
+
 @query(STATES, f"SELECT run_id, seq, ms, event_type, CAST(loop AS BIGINT) AS loop FROM {_EVENTS}")
 def g2_diagnostics(spark, d):
-    looped = kept(_looped(spark, d))  # read by each of its parts
+    looped = _kept_loops(spark, d)
     return views.diagnostics(an.resets(looped, P), an.parallel_events(looped, P))
 
 
 @query(STATES, f"SELECT run_id, count(*) FILTER (event_type LIKE '%recovery') AS recoveries, count(*) FILTER (event_type LIKE '%rise') AS rises, count(*) FILTER (event_type LIKE '%reset') AS resets FROM {_EVENTS} GROUP BY run_id")
 def d5_all_diagnostic_counts(spark, d):
     kind = F.col("event_type")
-    looped = kept(_looped(spark, d))  # read by each of its parts
+    looped = _kept_loops(spark, d)
     found = views.diagnostics(an.resets(looped, P), an.parallel_events(looped, P))
     return found.groupBy("run_id").agg(F.count_if(kind.endswith("recovery")).alias("recoveries"), F.count_if(kind.endswith("rise")).alias("rises"), F.count_if(kind.endswith("reset")).alias("resets"))
 
@@ -252,7 +257,7 @@ _STATUS = "CASE kind WHEN 'c' THEN 'interrupted' WHEN 'd' THEN 'active' WHEN 'f'
   UNION ALL SELECT run_id, 'segment', row_number() OVER (PARTITION BY run_id ORDER BY started_ms, segment), state, CAST(loop AS BIGINT), started_ms FROM segments
   UNION ALL SELECT run_id, 'event', row_number() OVER (PARTITION BY run_id ORDER BY ms, seq, event_type), event_type, CAST(loop AS BIGINT), ms FROM {_EVENTS}""")
 def j4_stored_analysis(spark, d):
-    looped = kept(_looped(spark, d))  # read by each of its parts
+    looped = _kept_loops(spark, d)
     found = views.diagnostics(an.resets(looped, P), an.parallel_events(looped, P)).withColumn("event_id", F.struct("seq", "event_type"))
     return views.stored_analysis(an.cycles(looped), an.segments(looped), found)
 

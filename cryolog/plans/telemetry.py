@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -15,6 +16,7 @@ from ..operators import ingest, series, views
 
 P = Profile(state_reset_gap_minutes=40.0)
 CHANNELS = ["RAF1", "RAF2", "VACUM", "S2", "S4", "E.GUC", "TARTIM"]
+FRAMES_EACH = 50_000  # a part's sorts and windows take memory by its frames
 _FOUND: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -31,9 +33,14 @@ def wide(e: DataFrame, run: Column, seq: Column, slower: int) -> DataFrame:
     )
 
 
+def parts_of(spark: SparkSession, sf_dir: str) -> int:
+    """How many parts the runs of the events are dealt to: about FRAMES_EACH frames in one, however many there are."""
+    return max(spark.sparkContext.defaultParallelism, math.ceil(spark.read.parquet(f"{sf_dir}/events.parquet").count() / FRAMES_EACH))
+
+
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A run for each user and a frame for each event; time runs sixty times slower than in the table."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").repartition(parts_of(spark, sf_dir), "user_id")
     seq = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
     return wide(e, F.col("user_id"), seq, 60000)
 

@@ -25,3 +25,10 @@ def test_against_sql(spark, name):
     got, want = QUERIES[name](spark, SF).toPandas(), con.execute(SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got) == rows(want)
+
+
+def test_parts_of_runs_grow_with_the_frames(spark, monkeypatch):
+    monkeypatch.setattr(telemetry, "FRAMES_EACH", 50, raising=False)
+    parts = -(-spark.read.parquet(f"{SF}/events.parquet").count() // 50)
+    held = [telemetry.frames(spark, SF), telemetry._looped(spark, SF), QUERIES["g2_diagnostics"](spark, SF)]
+    assert parts > 4 and [x.rdd.getNumPartitions() for x in held] == [parts] * 3
