@@ -67,14 +67,14 @@ class WindowMinima:
     """For each window of some values, the position of its leftmost smallest one; a wider window goes on from a narrower one."""
 
     def __init__(self, h: np.ndarray):
-        self.best, self.at, self.span = h, np.arange(len(h)), 1
+        self.best, self.at, self.span = h, np.arange(len(h), dtype=np.int32), 1  # texts are below 2 GB
 
     def of(self, width: int) -> np.ndarray:
         while self.span < width:  # minima over `span` values from each position; two of them make a window twice as long
             step = min(self.span, width - self.span)
             left, right = self.best[: len(self.best) - step], self.best[step:]
             keep = left <= right
-            self.best, self.at = np.where(keep, left, right), np.where(keep, self.at[: len(self.at) - step], self.at[step:])
+            self.best, self.at = np.minimum(left, right), np.where(keep, self.at[: len(self.at) - step], self.at[step:])
             self.span += step
         return self.at
 

@@ -623,3 +623,11 @@ def test_a_word_of_many_templates_is_one_row_of_their_join(spark):
         if node.nodeName() == "Join" and "Inner, (word" in node.toString().split("\n")[0]:
             rows.append(spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, node).count())
     assert rows == [20 * 6]  # all words but x
+
+
+def test_window_minima_are_leftmost_and_keep_short_positions():
+    h = np.random.default_rng(3).integers(0, 9, 300).astype(np.uint64)
+    minima = op1_suffix_dedup.WindowMinima(h)
+    for width in (1, 7, 81, 200):
+        at = minima.of(width)
+        assert at.dtype == np.int32 and at.tolist() == [i + int(np.argmin(h[i : i + width])) for i in range(len(h) - width + 1)]
