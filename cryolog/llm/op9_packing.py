@@ -15,6 +15,7 @@ A null text is empty and has the end id only.  Repeated rows are documents of th
 from __future__ import annotations
 
 import zlib
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +40,7 @@ class Index:
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float):
         self.terms, counts = zip(*(np.unique(d, return_counts=True) for d in docs), strict=True)
-        owner = np.repeat(np.arange(len(docs), dtype=np.int32), [len(t) for t in self.terms])
+        owner = np.repeat(np.arange(len(docs)), [len(t) for t in self.terms])
         lengths = np.array([len(d) for d in docs])
         flat, tf = np.concatenate(self.terms), np.concatenate(counts)
         gain = gains(tf, idf[flat], lengths[owner], mean)
@@ -63,8 +64,8 @@ class Index:
         for r in rows[rows >= 0].tolist():
             scores += self.rows[r]
         rare = terms[rows < 0]
-        for a, b in zip(self.starts[rare].tolist(), self.starts[rare + 1].tolist(), strict=True):
-            scores[self.owner[a:b]] += self.gain[a:b]
+        at = common.ranges(self.starts[rare], self.starts[rare + 1] - self.starts[rare])
+        np.add.at(scores, self.owner[at], self.gain[at])  # one after another, in order of terms
         scores *= self.unused
         if len(scores) > most:
             least = np.partition(scores, -most)[-most]
@@ -121,12 +122,23 @@ def _encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("_row", pa.int64()), ("ids", pa.binary())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, end = encoder(tokenizer, spaces=False), np.array([end_id], "<u4").tobytes()
+        coder = encoder(tokenizer, spaces=False)
         small = max(coder.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16
-        for b in batches:
-            ids = [np.frombuffer(coder.encode(t or "") + end, "<u4") for t in b.column(2).to_pylist()]
-            packed = [b"\2" + x.astype("<u2").tobytes() if small else b"\4" + x.tobytes() for x in ids]
-            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(packed, pa.binary())], schema=schema)
+        width, mark = ("<u2", b"\2") if small else ("<u4", b"\4")
+        end = np.array([end_id], width).tobytes()
+        begun, packed = deque(), []
+
+        def texts() -> Iterator[str]:
+            for b in batches:
+                if b.num_rows:
+                    begun.append(b.columns[:2])
+                    yield from (t or "" for t in b.column(2).to_pylist())
+
+        for ids in coder.encode_all(texts()):
+            packed.append(mark + ids.astype(width).tobytes() + end)
+            if len(packed) == len(begun[0][0]):
+                yield pa.RecordBatch.from_arrays([*begun.popleft(), pa.array(packed, pa.binary())], schema=schema)
+                packed = []
 
     return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("_row"), "text").mapInArrow(scan, "doc_id long, _row long, ids binary")
 
@@ -160,14 +172,14 @@ def _statistics(encoded: DataFrame, vocabulary: int) -> tuple[np.ndarray, float]
     schema = pa.schema([("term", pa.int32()), ("n", pa.int64())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, totals = np.zeros(vocabulary, np.int64), np.zeros(2, np.int64)
-        seen = np.zeros(vocabulary, bool)
+        df, totals = np.zeros(vocabulary, np.int32), np.zeros(2, np.int64)  # a part has fewer than 2^31 documents
+        seen = np.zeros(vocabulary, np.int32)
         for b in batches:
             for packed in b.column(0).to_pylist():
                 ids = _ids(packed)
-                seen[ids] = True
+                seen[ids] = 1
                 df += seen
-                seen[ids] = False
+                seen[ids] = 0
                 totals += (1, len(ids))
         at = np.flatnonzero(df)
         yield common.batch(schema, (np.concatenate([[-1, -2], at]), np.concatenate([totals, df[at]])))

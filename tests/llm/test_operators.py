@@ -16,7 +16,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).parent))
 import plain  # noqa: E402
 
-from cryolog.llm import common, op1_suffix_dedup, op2_decontaminate, op3_quality, op4_sharding, op5_jaccard, op6_sstable, op7_wrappers, op8_licences, op9_packing, op10_toxicity  # noqa: E402
+from cryolog.llm import common, op1_suffix_dedup, op2_decontaminate, op3_quality, op4_sharding, op5_jaccard, op6_sstable, op7_wrappers, op8_licences, op9_packing, op10_toxicity, tokens  # noqa: E402
 from cryolog.llm.queries import vocabulary  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _id string, _row string, shard int"
@@ -543,6 +543,20 @@ def test_token_ids_are_the_library_s():
         assert all(coder.encode(t) == coder.whole(t) for t in odd + [t or "" for t in texts()])
 
 
+def test_token_ids_of_many_texts_look_up_a_word_once(monkeypatch):
+    r, letters = random.Random(2), "abZéßÿžİı \n\t\r\x0b\x1c\xa0'’…€.,!#$0129²ªµ<|>_-\x00\x7fsntrevmld 日"
+    odd = ["".join(r.choice(letters) for _ in range(r.randint(0, 14))) for _ in range(3000)] + ["<|endoftext|>", "it's we'll I'M 'S", "a. 's. b7 'll", "  x  ", ""]
+    coder = tokens.TextEncoder(vocabulary("word_bpe_49k.json"), spaces=False)
+    same = lambda found: all(a.tobytes() == coder.whole(t) for a, t in zip(coder.encode_all(found), found, strict=True))
+    assert same([]) and same([""]) and same(odd) and same([t or "" for t in texts()])
+    monkeypatch.setattr(tokens, "_TOGETHER", 40)  # texts longer than a group, and many groups
+    assert same(odd)
+    monkeypatch.undo()
+    cut, coder.cut = coder.cut, lambda t: asked.append(t) or cut(t)
+    asked = []
+    assert same(["x-y and x-y, x-y"] * 1000) and asked == ["x-y", "x-y,"]
+
+
 def test_toxicity_learns_and_holds_out(spark):
     docs, labels = (common.read(spark, "/root/testdata/sf0.01", t) for t in ("documents", "labels"))
     model = op10_toxicity.train(docs, labels)
