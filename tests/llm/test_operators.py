@@ -451,6 +451,13 @@ def test_licences_in_long_lines(spark):
     assert got == {i: (own[i], "own") if i in own else (None, "none") for i in notices} | {7: ("MIT", "inherited")}
 
 
+def test_licences_meet_templates_without_a_join(spark):
+    lines = spark.createDataFrame([(t,) for ts in op8_licences.TEMPLATES.values() for t in ts], "line string")
+    found = op8_licences.line_licences(lines, *op8_licences.idf_of(lines))
+    assert found.count() == lines.count() and found.where("cosine > 0.999").count() == lines.count()
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 2  # norms and lines
+
+
 def test_licences_of_lines_without_a_long_word(spark):
     texts = ["under CC BY 4.0", "_Licensed under CC BY 4.0._", "by the way", "code", "Licensed under CC BY 4.0. " * 100]
     out = op8_licences.scan(spark.createDataFrame([(i, f"/{i}/a", t) for i, t in enumerate(texts)], "doc_id long, path string, text string"))
