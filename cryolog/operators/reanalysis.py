@@ -47,14 +47,17 @@ def resumed_frames(frames: DataFrame, at: DataFrame) -> DataFrame:
     return frames.join(at.select("run_id", "from_ms"), "run_id").where("from_ms IS NULL OR ms >= from_ms").drop("from_ms")
 
 
-def resume(frames: DataFrame, at: DataFrame, p: Profile) -> DataFrame:
-    """``analysed`` rows of ``resumed_frames``, as an analysis of all ``frames`` would give them."""
+def resume(frames: DataFrame, at: DataFrame, p: Profile, parts: int | None = None) -> DataFrame:
+    """``analysed`` rows of ``resumed_frames``, as an analysis of all ``frames`` would give them; ``parts``: how many the runs
+    are dealt to (as many as the session shuffles to)."""
     frames = an.with_lookups(frames)
     names = frames.columns
     part = resumed_frames(frames, at).withColumn("_carried", F.lit(False))
     last = {c: F.col("run_id") if c == "run_id" else F.col("carry.weight") if c == "TARTIM" else F.col(f"carry.last.`{c}`") for c in names}
     before = at.where("carry IS NOT NULL").select(*(v.alias(c) for c, v in last.items()), F.lit(True).alias("_carried"))
-    rows = analysed(part.unionByName(before), p)  # the last frame before stands first, in a chain of its own
+    part = part.unionByName(before)
+    part = part.repartition(parts, "run_id") if parts else part
+    rows = analysed(part, p)  # the last frame before stands first, in a chain of its own
     run = Window.partitionBy("run_id")
     stood = F.max(F.col("_carried").cast("int")).over(run)
     looped = F.max((F.col("_carried") & (F.col("state") == "START")).cast("int")).over(run)

@@ -13,6 +13,7 @@ from ..functions.profile import Profile
 from ..operators import analysis as an
 from ..operators import reanalysis as again
 from ..operators import ingest, series, views
+from ..streaming.ranges import kept
 
 P = Profile(state_reset_gap_minutes=40.0)
 CHANNELS = ["RAF1", "RAF2", "VACUM", "S2", "S4", "E.GUC", "TARTIM"]
@@ -322,12 +323,15 @@ def e22_recipe_segments(spark, d):
 
 @query
 def i10_resumed_analysis(spark, d):
-    """An analysis of most frames, taken up again from the chains that the other ones touch."""
-    f = frames(spark, d)
+    """An analysis of most frames, taken up again from the chains that the other ones touch.  What has several readers is stored
+    once, and each deals the runs to as many parts as ``frames``."""
+    parts = parts_of(spark, d)
+    dealt = lambda df: kept(df).repartition(parts, "run_id")
+    f = dealt(frames(spark, d))
     late = (F.col("seq") % 37 == 5) & (F.col("run_id") % 4 != 0)
-    stored = again.analysed(f.where(~late), P)
-    at = again.resumption(again.chain_ends(stored, f.columns), f.where(late))
-    whole = again.merged(stored, again.resume(f, at, P), at)
+    stored = dealt(again.analysed(f.where(~late), P))
+    at = kept(again.resumption(kept(again.chain_ends(stored, f.columns)).repartition(parts, "run_id"), f.where(late)))
+    whole = again.merged(stored, again.resume(f, at, P, parts), at)
     return whole.select("run_id", "seq", "chain", "segment", "state", "loop", "weight_delta", F.round("cumulative_kwh", 4).alias("cumulative_kwh"))
 
 

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
 
 from cryolog.functions.profile import Profile
 from cryolog.operators import reanalysis as again
+from cryolog.plans import telemetry
 
 P = Profile(state_reset_gap_minutes=40.0)
 SCHEMA = "run_id long, seq long, ms long, RAF1 double, VACUM double, S2 double, S4 double, `E.GUC` double, TARTIM double, run_status string"
@@ -61,3 +63,12 @@ def test_ends_of_a_resumed_analysis_go_on(spark):
         at = again.resumption(again.chain_ends(stored, f.columns), df(new))
         stored = again.merged(stored, again.resume(f, at, P), at)
     assert shown(stored) == shown(again.analysed(df(rows), P))
+
+
+def test_resumed_query_deals_runs_by_their_frames(spark, monkeypatch):
+    monkeypatch.setattr(telemetry, "FRAMES_EACH", 50)
+    d = "/root/testdata/sf0.001"
+    parts = telemetry.parts_of(spark, d)
+    plan = telemetry.i10_resumed_analysis(spark, d)._jdf.queryExecution().executedPlan().toString()
+    dealt = set(re.findall(r"hashpartitioning\(run_id#\d+L, (\d+)\)", plan))
+    assert parts > 4 and dealt == {str(parts)}  # none to the session's partitions, however many frames there are
