@@ -247,7 +247,7 @@ def i6_append_segments(spark, d):
 def i6_append_runs(spark, d):
     store = _appended(spark, d)
     late = store.read("samples").groupBy("run_id").agg(F.count_if("late").alias("late"))
-    return store.runs().join(late, "run_id").select("run_id", "status", "started_ms", "finished_ms", "rows", "late")
+    return batches.joined(store.runs(), late, "run_id").select("run_id", "status", "started_ms", "finished_ms", "rows", "late")
 
 
 @query(f"""{FRAMES}, e AS (SELECT run_id, seq AS event_id, k, CASE WHEN k % 3 = 0 THEN seq WHEN k % 3 = 1 THEN k WHEN k % 6 = 2 THEN k + 1 END AS source_row FROM frames),

@@ -19,6 +19,12 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SCHEMA).json(path)
 
 
+def joined(rows: DataFrame, other: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A join by run, of sides that are sorted and never sent whole to the driver: Spark judges what it may broadcast by compressed
+    bytes, and numbers of runs and batches take some fifty times that in memory."""
+    return rows.join(other.hint("merge"), on, how)
+
+
 def samples(batches: DataFrame) -> DataFrame:
     """A row for each sample: run_id, batch_id, batch_pos, seq, ms, source_timestamp_text, measurements, state_observation."""
     out = batches.select("run_id", "batch_id", F.posexplode("samples").alias("batch_pos", "s"))
@@ -55,25 +61,25 @@ def violations(rows: DataFrame, closed: DataFrame | None = None) -> DataFrame:
     out = rows.select("run_id", "batch_id", "batch_pos", F.explode(found).alias("reason"))
     if closed is None:
         return out
-    late = rows.select("run_id", "batch_id").distinct().join(closed.select("run_id"), "run_id", "left_semi")
+    late = joined(rows.select("run_id", "batch_id").distinct(), closed.select("run_id"), "run_id", "left_semi")
     return out.unionByName(late.select("run_id", "batch_id", F.lit(0).alias("batch_pos"), F.lit("run is closed").alias("reason")))
 
 
 def accepted(rows: DataFrame, closed: DataFrame | None = None) -> DataFrame:
-    return rows.join(violations(rows, closed).select("run_id", "batch_id").distinct(), ["run_id", "batch_id"], "left_anti")
+    return joined(rows, violations(rows, closed).select("run_id", "batch_id").distinct(), ["run_id", "batch_id"], "left_anti")
 
 
 def numbered(rows: DataFrame, stored_max: DataFrame) -> DataFrame:
     """Samples without a sequence get the next ones after the stored maximum (run_id, last_seq), in batch order."""
     n = F.count_if(F.col("seq").isNull()).over(Window.partitionBy("run_id").orderBy("batch_id", "batch_pos"))
-    out = rows.withColumn("_n", n).join(stored_max.select("run_id", "last_seq"), "run_id", "left")
+    out = joined(rows.withColumn("_n", n), stored_max.select("run_id", "last_seq"), "run_id", "left")
     return out.withColumn("seq", F.coalesce("seq", F.coalesce("last_seq", F.lit(0)) + F.col("_n"))).drop("_n", "last_seq")
 
 
 def report(rows: DataFrame, inserted: DataFrame) -> DataFrame:
     """Of each batch: samples inserted and skipped, and the time of the last one inserted in batch order."""
     new = inserted.select("run_id", "batch_id", "batch_pos", F.lit(1).alias("new"))
-    both = rows.select("run_id", "batch_id", "batch_pos", "ms").join(new, ["run_id", "batch_id", "batch_pos"], "left")
+    both = joined(rows.select("run_id", "batch_id", "batch_pos", "ms"), new, ["run_id", "batch_id", "batch_pos"], "left")
     return both.groupBy("run_id", "batch_id").agg(F.count("new").alias("inserted"), F.count_if(F.col("new").isNull()).alias("skipped"), F.max_by("ms", F.when(F.col("new") == 1, F.col("batch_pos"))).alias("latest_ms"))
 
 
@@ -82,5 +88,5 @@ def append_counts(inserted: DataFrame) -> DataFrame:
     key = ["run_id", "batch_id"]
     seen = cells(inserted).groupBy(*key).agg(F.count_distinct("channel").alias("channels"), F.count_if(F.col("quality") == "invalid").alias("errors"))
     told = ingest.append_gap_events(inserted).groupBy(*key).agg(F.count("*").alias("warnings"))
-    out = inserted.groupBy(*key).agg(F.count("*").alias("inserted")).join(seen, key, "left").join(told, key, "left")
+    out = joined(joined(inserted.groupBy(*key).agg(F.count("*").alias("inserted")), seen, key, "left"), told, key, "left")
     return out.select(*key, "inserted", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("channels", "warnings", "errors")))

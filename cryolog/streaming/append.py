@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..sources import batches, sinks
+from ..sources.batches import joined
 
 GAP_SECONDS = 360.0
 _OBSERVATION = "source_recipe_code string, source_recipe_version string, source_state_code string, source_state_name string, source_payload_json string"
@@ -113,7 +114,7 @@ class Store:
         return rows.groupBy(*key).agg(F.max_by(F.struct("state_id", "started_ms", "finished_ms"), "step").alias("s")).select(*key, "s.*")
 
     def known(self, step: int, touched: DataFrame) -> Known:
-        mine = lambda df: df.join(touched, "run_id", "left_semi")
+        mine = lambda df: joined(df, touched, "run_id", "left_semi")
         ends = mine(self.segments(step)).groupBy("run_id", "assignment_id").agg(F.max(F.struct("segment", "state_id", "started_ms", "finished_ms")).alias("s"))
         return Known(mine(self.read("samples", step)).select("run_id", "seq"), mine(self.runs(step)), ends.select("run_id", "assignment_id", "s.*"))
 
@@ -128,7 +129,7 @@ def numbered(rows: DataFrame, runs: DataFrame) -> DataFrame:
     earlier, upto = batches_of.rangeBetween(Window.unboundedPreceding, -1), batches_of.rangeBetween(Window.unboundedPreceding, 0)
     free = lambda over: F.count_if(F.col("seq").isNull()).over(over)
     rows = rows.withColumns({"_upto": free(upto), "_nth": free(Window.partitionBy("run_id").orderBy("batch_id", "batch_pos"))})
-    rows = rows.withColumn("_above", F.max(F.col("seq") - F.col("_upto")).over(earlier)).join(runs.select("run_id", "last_seq"), "run_id", "left")
+    rows = joined(rows.withColumn("_above", F.max(F.col("seq") - F.col("_upto")).over(earlier)), runs.select("run_id", "last_seq"), "run_id", "left")
     start = F.greatest(F.coalesce("last_seq", F.lit(0)), F.col("_above"))
     return rows.withColumn("seq", F.coalesce("seq", start + F.col("_nth"))).drop("_upto", "_nth", "_above", "last_seq")
 
@@ -137,9 +138,9 @@ def inserted(rows: DataFrame, known: Known) -> DataFrame:
     """Of numbered ``rows`` those whose sequence is not stored, the first of each in order of batches, with ``before``, the time
     that a sample is compared with, and ``late``, whether earlier batches hold a later one."""
     first = F.row_number().over(Window.partitionBy("run_id", "seq").orderBy("batch_id", "batch_pos"))
-    new = rows.withColumn("_n", first).where("_n = 1").drop("_n").join(known.samples, ["run_id", "seq"], "left_anti")
+    new = joined(rows.withColumn("_n", first).where("_n = 1").drop("_n"), known.samples, ["run_id", "seq"], "left_anti")
     earlier = Window.partitionBy("run_id").orderBy("batch_id").rangeBetween(Window.unboundedPreceding, -1)
-    new = new.join(known.runs.select("run_id", F.col("finished_ms").alias("_stored")), "run_id", "left").withColumn("_stored", F.greatest("_stored", F.max("ms").over(earlier)))
+    new = joined(new, known.runs.select("run_id", F.col("finished_ms").alias("_stored")), "run_id", "left").withColumn("_stored", F.greatest("_stored", F.max("ms").over(earlier)))
     before = F.coalesce(F.lag("ms").over(Window.partitionBy(*_BATCH).orderBy("batch_pos")), "_stored")
     return new.withColumn("before", before).withColumn("late", F.coalesce(F.col("ms") < F.col("_stored"), F.lit(False))).drop("_stored")
 
@@ -158,7 +159,7 @@ def _mapped(rows: DataFrame, catalogue: Catalogue) -> DataFrame:
     names = F.array(F.struct(F.col("code").alias("name"), F.lit(0).alias("rank")), F.struct(F.col("external_code").alias("name"), F.lit(1).alias("rank")))
     best = catalogue.states().select("version_id", "state_id", "sort_order", F.inline(names)).groupBy("version_id", "name").agg(F.min(F.struct("rank", "sort_order", "state_id")).alias("best"))
     best = best.select("version_id", F.col("name").alias("source_state_code"), F.col("best.state_id").alias("state_id"))
-    return rows.join(assigned, "run_id", "left").join(best, ["version_id", "source_state_code"], "left").drop("version_id")
+    return joined(rows, assigned, "run_id", "left").join(best, ["version_id", "source_state_code"], "left").drop("version_id")
 
 
 def observed(new: DataFrame, catalogue: Catalogue) -> DataFrame:
@@ -172,7 +173,7 @@ def _stays(observations: DataFrame, ends: DataFrame) -> DataFrame:
     ``started``, where the stay before the row began."""
     shown = observations.where("state_id IS NOT NULL").select("run_id", "assignment_id", "batch_id", "batch_pos", "state_id", "ms", F.lit(None).cast("bigint").alias("segment0"), F.lit(None).cast("bigint").alias("started0"))
     none = F.lit(None)
-    stored = ends.join(shown.select("run_id", "assignment_id").distinct(), ["run_id", "assignment_id"], "left_semi")
+    stored = joined(ends, shown.select("run_id", "assignment_id").distinct(), ["run_id", "assignment_id"], "left_semi")
     stored = stored.select("run_id", "assignment_id", none.cast("bigint").alias("batch_id"), none.cast("int").alias("batch_pos"), "state_id", F.coalesce("finished_ms", "started_ms").alias("ms"), F.col("segment").alias("segment0"), F.col("started_ms").alias("started0"))
     order = Window.partitionBy("run_id", "assignment_id").orderBy(F.asc_nulls_first("batch_id"), "batch_pos")
     enters = F.coalesce(F.lag("state_id").over(order) != F.col("state_id"), F.lit(True))
@@ -240,7 +241,7 @@ def older_batches(rows: DataFrame, known: Known, catalogue: Catalogue, kept: Cal
         found.append(older)
         if older.isEmpty():
             return reduce(DataFrame.unionByName, found)
-        rows = kept(rows.join(older.select("run_id"), "run_id", "left_semi").join(older.select(*_BATCH), _BATCH, "left_anti"), f"open-{round_ + 1}")
+        rows = kept(joined(joined(rows, older.select("run_id"), "run_id", "left_semi"), older.select(*_BATCH), _BATCH, "left_anti"), f"open-{round_ + 1}")
 
 
 def run_step(store: Store, arrived: DataFrame, step: int, catalogue: Catalogue = Catalogue()) -> None:
@@ -259,10 +260,10 @@ def run_step(store: Store, arrived: DataFrame, step: int, catalogue: Catalogue =
     known = store.known(step, rows.select("run_id").distinct())
     known = Known(*(kept(df, f"known-{name}") for name, df in known._asdict().items()))
     refused = kept(batches.violations(rows, catalogue.closed() if catalogue.closed else None), "breaches")
-    allowed = rows.join(refused.select(*_BATCH).distinct(), _BATCH, "left_anti")
+    allowed = joined(rows, refused.select(*_BATCH).distinct(), _BATCH, "left_anti")
     refused = refused.unionByName(older_batches(allowed, known, catalogue, kept))
     # one shuffle by run serves all windows
-    good = rows.join(refused.select(*_BATCH).distinct(), _BATCH, "left_anti").repartition("run_id")
+    good = joined(rows, refused.select(*_BATCH).distinct(), _BATCH, "left_anti").repartition("run_id")
 
     new = kept(inserted(numbered(good, known.runs), known), "new")
     observations, cells = kept(observed(new, catalogue), "observations"), kept(batches.cells(new), "cells")
@@ -274,16 +275,16 @@ def run_step(store: Store, arrived: DataFrame, step: int, catalogue: Catalogue =
     store.write("segments", moved_segments(observations, known.segments), step)
     seen = new.groupBy("run_id").agg(F.min("ms").alias("_first"), F.max("ms").alias("_last"), F.count("*").alias("_rows"), F.max("seq").alias("_seq"))
     named = cells.groupBy("run_id").agg(F.collect_set("channel").alias("_channels"))
-    runs = seen.join(named, "run_id", "left").join(known.runs, "run_id", "left")
+    runs = joined(joined(seen, named, "run_id", "left"), known.runs, "run_id", "left")
     status = F.when(F.col("status").isNull() | (F.col("status") == "imported"), "running").otherwise(F.col("status"))
     channels = F.array_sort(F.array_union(F.coalesce("channels", F.array().cast("array<string>")), F.coalesce("_channels", F.array().cast("array<string>"))))
     runs = runs.select("run_id", status.alias("status"), F.least("started_ms", "_first").alias("started_ms"), F.greatest("finished_ms", "_last").alias("finished_ms"), (F.coalesce("rows", F.lit(0)) + F.col("_rows")).alias("rows"), F.greatest("last_seq", "_seq").alias("last_seq"), channels.alias("channels"))
     store.write("runs", runs, step)
     store.write("refusals", refused.distinct(), step)
-    counts = batches.report(good, new).join(events.groupBy(*_BATCH).agg(F.count_if(F.col("severity") == "warning").alias("warnings"), F.count_if(F.col("severity") == "error").alias("errors")), _BATCH, "left")
-    whole = counts.join(known.runs.select("run_id", F.col("channels").alias("_known")), "run_id", "left")
+    counts = joined(batches.report(good, new), events.groupBy(*_BATCH).agg(F.count_if(F.col("severity") == "warning").alias("warnings"), F.count_if(F.col("severity") == "error").alias("errors")), _BATCH, "left")
+    whole = joined(counts, known.runs.select("run_id", F.col("channels").alias("_known")), "run_id", "left")
     per_batch = cells.groupBy(*_BATCH).agg(F.collect_set("channel").alias("_own")).withColumn("_own", F.flatten(F.collect_list("_own").over(Window.partitionBy("run_id").orderBy("batch_id"))))
-    whole = whole.join(per_batch, _BATCH, "left")
+    whole = joined(whole, per_batch, _BATCH, "left")
     held = F.size(F.array_union(F.coalesce("_known", F.array().cast("array<string>")), F.coalesce("_own", F.array().cast("array<string>"))))
     store.write("reports", whole.select(*_BATCH, "inserted", "skipped", held.cast("bigint").alias("channels"), F.coalesce("warnings", F.lit(0)).alias("warnings"), F.coalesce("errors", F.lit(0)).alias("errors"), "latest_ms"), step)
     store.close(step)
@@ -297,7 +298,7 @@ def append_stream(store: Store, source: str, checkpoint: str, catalogue: Catalog
         run_step(store, arrived, number, catalogue)
         if analyse is not None:
             samples = store.read("samples")
-            analyse(samples.drop("step").join(samples.where(F.col("step") == number).select("run_id").distinct(), "run_id", "left_semi"))
+            analyse(joined(samples.drop("step"), samples.where(F.col("step") == number).select("run_id").distinct(), "run_id", "left_semi"))
 
     stream = store.spark.readStream.schema(batches.SCHEMA).json(source)
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

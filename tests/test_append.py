@@ -197,3 +197,27 @@ def test_breaches_of_new_kinds(spark):
     bad = sample(0, 1, "A") | {"state_observation": {"source_state_code": "  "}}
     df = batches.samples(rows(spark, [(1, 1, [bad, sample(0, 2, RAF1={"quality": "good"})])]))
     assert sorted(r.reason for r in batches.violations(df).collect()) == ["measurement without value", "state without code"]
+
+
+def executions(found):
+    runs = found.executionsList()
+    return [runs.apply(i) for i in range(runs.size())]
+
+
+def test_a_step_sends_no_table_by_run_to_the_driver(spark, tmp_path):
+    parts, store = random_batches(3), append.Store(spark, str(tmp_path))
+    found, done = spark._jsparkSession.sharedState().statusStore(), lambda: spark._jsc.sc().listenerBus().waitUntilEmpty()
+    done()
+    began = max((r.executionId() for r in executions(found)), default=-1)
+    for step in range(2):
+        append.run_step(store, rows(spark, [p for p in parts if p[1] % 2 == step]), step, catalogue(spark))
+    done()
+    sent, merged = [], 0
+    for run in (r for r in executions(found) if r.executionId() > began):
+        values, nodes = found.executionMetrics(run.executionId()), found.planGraph(run.executionId()).allNodes()
+        for node in (nodes.apply(j) for j in range(nodes.size())):
+            merged += node.name() == "SortMergeJoin"
+            if node.name() == "BroadcastExchange":
+                metrics = [node.metrics().apply(j) for j in range(node.metrics().size())]
+                sent += [int(values.get(m.accumulatorId()).get()) for m in metrics if m.name() == "number of output rows" and values.get(m.accumulatorId()).isDefined()]
+    assert merged and set(sent) == {5}  # names of the recipes' states
