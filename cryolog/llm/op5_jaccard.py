@@ -12,7 +12,7 @@ Sets are 64-bit hashes of ``k``-word shingles.  Equal sets are one class from th
 * B is where enumerating a set's subsets would begin to cost more than its lists and their checks.
 
 In a list, two sets stay candidates if histograms of their shingles over SKETCH ranges differ by no more than linked
-sets can.  Such members are tied as stars, never as all pairs; components of these ties hold all candidates.  Each
+sets can.  Larger sets have more ranges, as two that share nothing differ by no more than that where a range holds many.  Such members are tied as stars, never as all pairs; components of these ties hold all candidates.  Each
 component then gets its whole sets and an exact check: a member is compared with a member of each class group
 found so far, and fully scanned only where that does not decide, so a dense group costs a line, not a square.
 
@@ -25,7 +25,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
-from math import comb, exp, factorial, sqrt
+from math import ceil, comb, exp, factorial, log2, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -82,6 +82,8 @@ class Rule:
         while self.light < 64 and self._subsets(self.light + 1) <= self._lists(self.light + 1):
             self.light += 1
         self.bands = [max(1, -(-percent * (self.light + 1) // 100))]
+        # sets of n shingles that share none differ by about 2 n / sqrt(pi x) at x in a range, linked ones by this share of n at most
+        self.in_range = min(8.0, 4 / pi / (2 * (100 - percent) / (100 + percent)) ** 2 / 3) if percent < 100 else 8.0
 
     def overlap(self, n: int, m: int) -> int:
         return -(-self.percent * (n + m) // (100 + self.percent))
@@ -92,6 +94,10 @@ class Rule:
     def smallest(self, n: int) -> int:
         return -(-self.percent * n // 100)
 
+    def ranges(self, n: int) -> int:
+        """How many hash ranges a histogram of ``n`` shingles has."""
+        return max(SKETCH, 1 << ceil(log2(max(1, n) / self.in_range))) if self.in_range < n else SKETCH
+
     def _subsets(self, n: int) -> int:
         return sum(comb(n, self.overlap(n, m)) for m in range(self.smallest(n), self.largest(n) + 1) if self.overlap(n, m) <= min(n, m))
 
@@ -147,9 +153,21 @@ def class_of(s: np.ndarray) -> int:
     return int(mixed(np.sum(mixed(s), dtype=np.uint64, keepdims=True) + np.uint64(len(s)))[0].astype(np.int64))
 
 
-def sketch(s: np.ndarray) -> bytes:
-    """How many shingles fall into each of SKETCH hash ranges, 255 at most."""
-    return np.minimum(np.bincount((s >> np.uint64(64 - SKETCH.bit_length() + 1)).astype(np.int64), minlength=SKETCH), 255).astype(np.uint8).tobytes()
+def sketch(s: np.ndarray, ranges: int = SKETCH) -> bytes:
+    """How many shingles fall into each of ``ranges`` (a power of two) hash ranges, 15 at most, two in a byte."""
+    found = np.minimum(np.bincount((s >> np.uint64(64 - ranges.bit_length() + 1)).astype(np.int64), minlength=ranges), 15).astype(np.uint8)
+    return (found[::2] << 4 | found[1::2]).tobytes()
+
+
+def folded(sketches: list[bytes], ranges: int) -> np.ndarray:
+    """``sketches`` over as few as ``ranges`` ranges, a row for each."""
+    out = np.empty((len(sketches), ranges), np.int16)
+    sizes = np.fromiter(map(len, sketches), np.int64, len(sketches))
+    for size in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == size)
+        some = np.frombuffer(b"".join([sketches[i] for i in at.tolist()]), np.uint8).reshape(len(at), size)
+        out[at] = np.stack([some >> 4, some & 15], 2).reshape(len(at), ranges, 2 * size // ranges).sum(2, dtype=np.int16)
+    return out
 
 
 _TIES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -159,10 +177,18 @@ def _ties(lists: DataFrame, percent: int) -> DataFrame:
     """``lists`` (sig, cls, n, sketch): ties (a, b) that connect the members of each list that can be linked."""
 
     def near(sizes: np.ndarray, sketches: np.ndarray, n: np.ndarray, other: np.ndarray) -> np.ndarray:
-        gap = np.abs(sketches.astype(np.int16) - other.astype(np.int16)).sum(-1)
+        gap = np.abs(sketches - other).sum(-1, dtype=np.int64)
         return gap <= (sizes + n) - 2 * -(-percent * (sizes + n) // (100 + percent))
 
-    def tie(sig: np.ndarray, cls: np.ndarray, size: np.ndarray, sketches: np.ndarray) -> pa.RecordBatch:
+    def tie(sig: np.ndarray, cls: np.ndarray, size: np.ndarray, sketches: list[bytes]) -> Iterator[pa.RecordBatch]:
+        first = np.concatenate([[0], np.flatnonzero(sig[1:] != sig[:-1]) + 1])
+        length = np.diff(np.append(first, len(sig)))
+        ranges = np.repeat(2 * np.minimum.reduceat(np.fromiter(map(len, sketches), np.int64, len(sketches)), first), length)  # a list's fewest
+        for n in np.unique(ranges).tolist():
+            at = np.flatnonzero(ranges == n)
+            yield tie_alike(sig[at], cls[at], size[at], folded([sketches[i] for i in at.tolist()], n))
+
+    def tie_alike(sig: np.ndarray, cls: np.ndarray, size: np.ndarray, sketches: np.ndarray) -> pa.RecordBatch:
         first = np.concatenate([[0], np.flatnonzero(sig[1:] != sig[:-1]) + 1])
         length = np.diff(np.append(first, len(sig)))
         lead = np.repeat(first, length)
@@ -179,18 +205,18 @@ def _ties(lists: DataFrame, percent: int) -> DataFrame:
         return common.batch(_TIES, (pairs[:, 0], pairs[:, 1]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[np.ndarray] | None = None
+        kept: list | None = None
         for b in batches:
             if not b.num_rows:
                 continue
-            new = [c.to_numpy() for c in b.columns[:3]] + [np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint8).reshape(-1, SKETCH)]
-            kept = new if kept is None else [np.concatenate(x) for x in zip(kept, new, strict=True)]
+            new = [c.to_numpy() for c in b.columns[:3]]
+            kept = [*new, b.column(3).to_pylist()] if kept is None else [*(np.concatenate(x) for x in zip(kept[:3], new, strict=True)), kept[3] + b.column(3).to_pylist()]
             open_ = int(np.searchsorted(kept[0], kept[0][-1]))  # the last list may go on
             if open_:
-                yield tie(*(x[:open_] for x in kept))
+                yield from tie(*(x[:open_] for x in kept))
                 kept = [x[open_:] for x in kept]
         if kept is not None:
-            yield tie(*kept)
+            yield from tie(*kept)
 
     ordered = lists.select("sig", "cls", "n", "sketch").repartition("sig").sortWithinPartitions("sig", "n", "cls")
     return ordered.mapInArrow(scan, "a long, b long").distinct()
@@ -213,7 +239,7 @@ def _sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 classes.append(c)
                 new = c is not None and c not in seen
                 sigs.append(rule.signatures(s).view(np.int64) if new else None)
-                sketches.append(sketch(s) if new else None)
+                sketches.append(sketch(s, rule.ranges(len(s))) if new else None)
                 seen.add(c)
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(sigs, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], schema=_SETS)
 

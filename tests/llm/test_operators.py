@@ -652,3 +652,22 @@ def test_window_minima_are_leftmost_and_keep_short_positions():
     for width in (1, 7, 81, 200):
         at = minima.of(width)
         assert at.dtype == np.int32 and at.tolist() == [i + int(np.argmin(h[i : i + width])) for i in range(len(h) - width + 1)]
+
+
+def test_large_sets_that_share_little_are_no_candidates(spark):
+    rng, rule = np.random.default_rng(5), op5_jaccard.Rule(80)
+    sizes = [60, 900, 5000, 5000, 5400, 20_000]
+    for n in sizes:
+        s = np.sort(rng.integers(0, 2**64, n, dtype=np.uint64))
+        whole = np.bincount((s >> np.uint64(57)).astype(int), minlength=128)
+        got = op5_jaccard.folded([op5_jaccard.sketch(s, rule.ranges(n))], 128)[0]
+        assert n / rule.ranges(n) <= 8 and (got <= whole).all() and got.sum() > 0.9 * n
+    common_, words = " ".join(f"c{i}" for i in range(12)), lambda k: " ".join(f"w{k}x{i}" for i in range(6000))
+    texts = [f"{words(k)} {common_}" for k in range(6)] + [f"{words(0)} {common_} end", f"{words(1)} z {common_}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = op5_jaccard._sets(docs, 5, 80).select("doc_id", "cls", common.F.col("n_shingles").alias("n"), "sketch").collect()
+    lists = spark.createDataFrame([(7, r.cls, r.n, r.sketch) for r in rows], "sig long, cls long, n long, sketch binary")
+    of = {r.cls: r.doc_id for r in rows}
+    assert {frozenset((of[t.a], of[t.b])) for t in op5_jaccard._ties(lists, 80).collect()} == {frozenset((0, 6)), frozenset((1, 7))}
+    found = {r.doc_id: r.component_id for r in op5_jaccard.link_components(docs).collect()}
+    assert found == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 0, 7: 1}
