@@ -671,3 +671,12 @@ def test_large_sets_that_share_little_are_no_candidates(spark):
     assert {frozenset((of[t.a], of[t.b])) for t in op5_jaccard._ties(lists, 80).collect()} == {frozenset((0, 6)), frozenset((1, 7))}
     found = {r.doc_id: r.component_id for r in op5_jaccard.link_components(docs).collect()}
     assert found == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 0, 7: 1}
+
+
+def test_licences_within_lines_of_any_length(spark):
+    mit, filler = "Released under the MIT License.", lambda n, end: "".join(f"Word{i} goes on{end} " for i in range(n))
+    texts = {i: filler(n, ".") + mit + " " + filler(n, ".") for i, n in enumerate((4, 10, 30, 60, 200))} | {9: filler(30, ".")}
+    texts[7] = filler(10, ".") + "By. Mit. " + filler(10, ".")
+    texts[8] = filler(30, "") + op8_licences.TEMPLATES["GPL-3.0"][1][:-1] + " " + filler(30, "")  # no sentence of its own
+    out = op8_licences.scan(spark.createDataFrame([(i, f"/{i}/a", t) for i, t in texts.items()], "doc_id long, path string, text string"))
+    assert {r.doc_id: r.licence for r in out.collect()} == dict.fromkeys(range(5), "MIT") | {7: None, 8: "GPL-3.0", 9: None}
